@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import calendar_columns, direction_columns, physics_columns
-from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, with_row_index
+from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach, with_row_index
 from fleetcast.schemas import KEY, POWER, TS, WIND
 
 # Lag and window sets.
@@ -99,6 +99,23 @@ def supervised_features(
     return along_timeline(survivors, {TARGET: target}, 0, horizon_steps, chunk_rows).dropna()
 
 
+ACTIVE_KW = 100.0
+
+
+def active_rows(rows: DataFrame, least: Mapping[str, int] | None = None) -> DataFrame:
+    """Rows above 100 kW; all rows of an asset's split that has fewer active ones than ``least``.
+
+    A split not named in ``least`` keeps all its rows.
+    """
+    least = {"train": 100, "val": 50} if least is None else least
+    enough = F.lit(False)
+    for split, n in least.items():
+        enough = enough | ((F.col("split") == split) & (F.col("_active") >= n))
+    active = F.col(POWER) > ACTIVE_KW
+    counts = rows.groupBy(KEY, "split").agg(F.count_if(active).alias("_active"))
+    return attach(rows, counts, [KEY, "split"]).where(active | ~enough).drop("_active")
+
+
 def feature_columns(df: DataFrame) -> list[str]:
     """Numeric columns a model may see: no keys, no current power, no target, no bookkeeping."""
     hidden = {KEY, TS, POWER, TARGET, ROW, TOTAL, "ingest_seq", "forecast_ts", "split", "delta_kw", "weight"}

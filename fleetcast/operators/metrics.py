@@ -69,6 +69,11 @@ def residual_p90(
     return found.withColumn("residual_p90", F.greatest(F.col("residual_p90"), F.lit(float(floor_kw))))
 
 
+def mean_residual(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mean of actual minus predicted, used as a bias correction."""
+    return df.groupBy(*keys).agg(F.avg(F.col("actual_kw") - F.col("predicted_kw")).alias("bias_kw"))
+
+
 def power_curve_scores(df: DataFrame) -> DataFrame:
     """The theoretical curve against the observed power."""
     a, t = F.col(POWER), F.col(THEORETICAL)

@@ -37,7 +37,7 @@ def group_quantiles(
     keys: list[str],
     value: str,
     wanted: Mapping[str, Wanted],
-    cell_width: float = 0.0625,
+    cell_width: float = 0.25,
     count: str | None = None,
 ) -> DataFrame:
     """One row per key group with a column per entry of ``wanted`` (name -> probability,

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import micros
+from fleetcast.operators import conformal
 from fleetcast.operators.features import rolling
-from fleetcast.operators.metrics import MODEL_KEYS, model_metrics, residual_p90
-from fleetcast.operators.splits import DEFAULT_STEP_MINUTES, TRAIN_RATIO, VAL_RATIO, row_split
+from fleetcast.operators.metrics import MODEL_KEYS, coverage_by_power, model_metrics, residual_p90
+from fleetcast.operators.splits import DEFAULT_STEP_MINUTES, TRAIN_RATIO, VAL_RATIO, row_bounds, row_split
 from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach
 from fleetcast.schemas import HORIZONS, KEY, POWER, TEST_OUTPUT_COLUMNS, THEORETICAL, TS, WIND
 
@@ -133,3 +134,32 @@ def baseline_outputs(indexed: DataFrame, **options) -> DataFrame:
 def comparison(outputs: DataFrame) -> DataFrame:
     """The comparison table of all models and horizons in one aggregate."""
     return model_metrics(outputs)
+
+
+def split_rows(indexed: DataFrame, split: str) -> DataFrame:
+    """The rows of one split as a timeline of their own: a split is contiguous, so numbers only shift."""
+    train_end, val_end = row_bounds(F.col(TOTAL))
+    first, end = {
+        "train": (F.lit(0), train_end),
+        "val": (train_end, val_end),
+        "test": (val_end, F.col(TOTAL)),
+    }[split]
+    rows = indexed.where((F.col(ROW) >= first) & (F.col(ROW) < end))
+    return rows.withColumns({ROW: F.col(ROW) - first, TOTAL: end - first})
+
+
+def conformal_intervals(predictions: DataFrame, target: float = conformal.COVERAGE) -> DataFrame:
+    """C1 on the val rows, C2 on the test rows."""
+    fitted = conformal.fit(predictions.where(F.col("split") == "val"), MODEL_KEYS, target)
+    return conformal.predict_intervals(predictions.where(F.col("split") == "test"), fitted, MODEL_KEYS, target)
+
+
+def calibration_report(
+    predictions: DataFrame, target: float = conformal.COVERAGE, tolerance: float = conformal.TOLERANCE
+) -> DataFrame:
+    """One row per asset, model and horizon: A10 with the coverage per power regime as a map."""
+    intervals = conformal_intervals(predictions, target)
+    entry = F.struct(F.col("power_bin").alias("key"), F.col("coverage").alias("value"))
+    bins = coverage_by_power(intervals).groupBy(*MODEL_KEYS)
+    by_bin = bins.agg(F.map_from_entries(F.collect_list(entry)).alias("coverage_by_power_bin"))
+    return conformal.calibration_metrics(intervals, MODEL_KEYS, target, tolerance).join(by_bin, MODEL_KEYS)
