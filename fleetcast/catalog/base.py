@@ -57,11 +57,14 @@ outp AS (SELECT p.asset_id, p."timestamp", p.actual_kw, p.predicted_kw,
 )
 
 
-COARSE = 3
+COARSE, FINE = 3, 8
 
 
 def _digits(name: str, digits: int) -> int:
-    """Deviations keep fewer digits: their last ones depend on the order of summation."""
+    """Fewer for deviations, whose last digits depend on the order of summation; more for means of wind
+    speeds, which are short decimals and often end in an exact half."""
+    if "wind_speed_roll_mean" in name:
+        return FINE
     return COARSE if "_std" in name or name == "turbulence_intensity" else digits
 
 

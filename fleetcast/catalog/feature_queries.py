@@ -286,12 +286,12 @@ def _frame_sql(lags, windows, lead: int | None, source: str = "idx") -> tuple[st
     return whole, " ".join(shown)
 
 
-@query("f2_tabular_features", *_frame_sql(features.LAGS, features.WINDOWS, None), digits=8)
+@query("f2_tabular_features", *_frame_sql(features.LAGS, features.WINDOWS, None))
 def tabular_features(spark, sf_dir):
     return features.tabular_features(indexed(spark, sf_dir)).drop(ROW, TOTAL)
 
 
-@query("f3_supervised_features", *_frame_sql(features.TRAINING_LAGS, features.TRAINING_WINDOWS, 6), digits=8)
+@query("f3_supervised_features", *_frame_sql(features.TRAINING_LAGS, features.TRAINING_WINDOWS, 6))
 def supervised_features(spark, sf_dir):
     frame = features.supervised_features(
         indexed(spark, sf_dir), 6, features.TRAINING_LAGS, features.TRAINING_WINDOWS, complete_rows=True
@@ -305,7 +305,7 @@ _WRAPPED_IDX = _DIRTY_IDX + """
 """
 
 
-@query("f3_supervised_with_gaps", *_frame_sql((1, 3), (3,), 6, "widx"), _WRAPPED_IDX, digits=8)
+@query("f3_supervised_with_gaps", *_frame_sql((1, 3), (3,), 6, "widx"), _WRAPPED_IDX)
 def supervised_with_gaps(spark, sf_dir):
     """Missing wind speeds: targets are counted over the rows that survive."""
     rows = with_row_index(cleaning.normalise(dirty_scada(spark, sf_dir)))

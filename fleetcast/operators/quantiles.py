@@ -1,9 +1,10 @@
 """Exact group quantiles that never hold a group in one task.
 
-``percentile`` keeps all distinct values of a group in one buffer. Here the values are counted per
-cell of a fixed grid (combined before the shuffle), running counts tell which cell holds each wanted
-rank, and only the values of those cells are looked at again. Linear interpolation between the two
-neighbouring ranks, as NumPy's default and SQL ``quantile_cont``.
+``percentile`` keeps all distinct values of a group in one buffer. Here equal values are counted
+(combined before the shuffle, and spread by value after it), the counts are added up per cell of a
+fixed grid, running counts tell which cell holds each wanted rank, and only the values of those cells
+are sorted. Both steps read the same shuffle, so the input is computed once. Linear interpolation
+between the two neighbouring ranks, as NumPy's default and SQL ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -49,20 +50,21 @@ def group_quantiles(
     cell = F.greatest(
         F.least(F.floor(F.col("_v") / F.lit(cell_width)), F.lit(_CELL_LIMIT)), F.lit(-_CELL_LIMIT)
     ).cast("long")
-    rows = (
+    counted = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(is_finite(F.col("_v")))
         .withColumn("_cell", cell)
+        .groupBy(*keys, "_cell", "_v")
+        .agg(F.count("*").alias("_m"))
     )
     along = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = (
-        rows.groupBy(*keys, "_cell")
-        .agg(F.count("*").alias("_n"))
+        counted.groupBy(*keys, "_cell")
+        .agg(F.sum("_m").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(along))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
     )
-    names = list(wanted)
     total = F.col("_total")
     hit = F.lit(False)
     for p in wanted.values():
@@ -73,9 +75,7 @@ def group_quantiles(
         Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = (
-        rows.join(hits, [*keys, "_cell"])
-        .groupBy(*keys, "_cell", "_v")
-        .agg(F.count("*").alias("_m"), F.max("_before").alias("_before"), F.max("_total").alias("_total"))
+        counted.join(hits, [*keys, "_cell"])
         .withColumn("_to", F.col("_before") + F.sum("_m").over(in_cell))
         .withColumn("_from", F.col("_to") - F.col("_m"))
     )
