@@ -47,7 +47,7 @@ from fleetcast.operators.splits import (
 from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, attach, last_rows
 from fleetcast.plans.backtest import BASELINES, baseline_outputs, horizon_steps, uniform_outputs, with_model_id
 from fleetcast.schemas import KEY, MEASURES, POWER, TS, WIND
-from fleetcast.session import materialise
+from fleetcast.session import materialise, written
 from fleetcast.sources import registry
 
 log = logging.getLogger(__name__)
@@ -97,7 +97,9 @@ def fit_boosted(
     test rows are all rows of the test part, clipped at 0.
     """
     steps = horizon_steps(horizon_hours, step_minutes)
-    frame = materialise(_delta_frame(indexed, steps, lags, windows, step_minutes, complete_rows, chunk_rows))
+    frame = written(
+        _delta_frame(indexed, steps, lags, windows, step_minutes, complete_rows, chunk_rows), "training-frame"
+    )
     features = feature_columns(frame)
     learn = (
         active_rows(frame.where(F.col("split") != "test"))
@@ -353,7 +355,7 @@ def fit_sequence(
         "model_type",
         "horizon_hours",
     )
-    scored = materialise(scored)
+    scored = written(scored, "sequence-scores")
     val = scored.where(F.col("split") == "val")
     band = residual_p90(val, [KEY], predicted="raw_kw", floor_kw=FLOOR_KW)
     figures = materialise(

@@ -50,3 +50,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back: for wide frames of which little is read at a time."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
