@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -324,8 +324,9 @@ def fit_sequence(
 ) -> tuple[SequenceModel, DataFrame] | None:
     """Ridge regression on standardised windows; ``None`` with fewer than ``min_train`` train windows.
 
-    Returns the model and val and test predictions with ``split``. The fit is one pass that adds up the
-    window products, so its cost in memory depends on the window length, not on the rows.
+    Returns the model and val and test predictions with ``split``. The regression standardises the
+    features itself, in the same pass that adds up their products: its memory depends on the window
+    length, not on the rows.
     """
     steps = horizon_steps(horizon_hours, step_minutes)
     train_end, _ = row_bounds(F.col(TOTAL))
@@ -337,8 +338,14 @@ def fit_sequence(
     train = windows.where(F.col("split") == "train")
     pipeline = Pipeline(
         stages=[
-            StandardScaler(inputCol="window", outputCol="features", withMean=False, withStd=True),
-            LinearRegression(labelCol="actual_kw", regParam=reg_param, elasticNetParam=0.0, solver="normal"),
+            LinearRegression(
+                featuresCol="window",
+                labelCol="actual_kw",
+                regParam=reg_param,
+                elasticNetParam=0.0,
+                standardization=True,
+                solver="normal",
+            ),
         ]
     ).fit(train)
     scored = _identified(
