@@ -346,6 +346,9 @@ def normalised_target(spark, sf_dir):
 TREES = {"max_iter": 10, "max_depth": 4, "complete_rows": True}
 
 
+WINDOWS = {"min_train": 50}
+
+
 @query("b4_boosted_trees")
 def boosted_trees(spark, sf_dir):
     return learned.fit_boosted(indexed(spark, sf_dir), 1, **TREES)[1]
@@ -353,13 +356,13 @@ def boosted_trees(spark, sf_dir):
 
 @query("b5_sequence_model")
 def sequence_model(spark, sf_dir):
-    model, scored = learned.fit_sequence(indexed(spark, sf_dir), 1)
+    model, scored = learned.fit_sequence(indexed(spark, sf_dir), 1, **WINDOWS)
     return learned.sequence_outputs(model, scored)
 
 
 @query("c4_sequence_calibration")
 def sequence_calibration(spark, sf_dir):
-    return learned.calibrate_sequence(learned.fit_sequence(indexed(spark, sf_dir), 1)[1])
+    return learned.calibrate_sequence(learned.fit_sequence(indexed(spark, sf_dir), 1, **WINDOWS)[1])
 
 
 @query("g6_boosted_latest")
@@ -379,7 +382,7 @@ def boosted_roll_forward(spark, sf_dir):
 @query("g8_sequence_forecast")
 def sequence_forecast(spark, sf_dir):
     rows = indexed(spark, sf_dir)
-    model, _ = learned.fit_sequence(rows, 1)
+    model, _ = learned.fit_sequence(rows, 1, **WINDOWS)
     return learned.sequence_forecast(model, rows)
 
 

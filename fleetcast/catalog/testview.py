@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from fleetcast.schemas import KEY, MEASURES, SEQ, TS
 
 _SCADA = """
 SELECT {ts} AS timestamp, asset_id, ws AS wind_speed_mps, tp AS theoretical_power_kwh,
@@ -44,16 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scada_rows(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(SPARK_SCADA, events=events)
+
+
+def dirty_rows(clean: DataFrame) -> DataFrame:
+    rows = clean.sparkSession.sql(SPARK_DIRTY.replace("FROM scada", "FROM {scada}"), scada=clean)
+    return rows.select(KEY, TS, SEQ, *MEASURES)
+
+
 def scada(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean rows, with ``ingest_seq`` giving the order of arrival."""
-    return spark.sql(SPARK_SCADA, events=table(spark, sf_dir, "events"))
+    return scada_rows(table(spark, sf_dir, "events"))
 
 
 def dirty_scada(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(SPARK_DIRTY.replace("FROM scada", "FROM {scada}"), scada=scada(spark, sf_dir))
-    return rows.select(
-        "asset_id",
-        "timestamp",
-        "ingest_seq",
-        *[F.col(c) for c in ("active_power_kw", "wind_speed_mps", "theoretical_power_kwh", "wind_direction_deg")],
-    )
+    return dirty_rows(scada(spark, sf_dir))
