@@ -125,9 +125,9 @@ def fit_boosted(
     ).fit(learn)
     val = _identified(pipeline.transform(learn.where("is_val")), GBT_TYPE, horizon_hours)
     raw = F.col(POWER) + F.col("prediction")
-    val = val.select(*MODEL_KEYS, F.col(TARGET).alias("actual_kw"), raw.alias("predicted_kw"))
+    val = val.select(*MODEL_KEYS, TS, F.col(TARGET).alias("actual_kw"), raw.alias("predicted_kw"))
     bias = mean_residual(val, [KEY])
-    corrected = val.join(bias, KEY).withColumn("predicted_kw", F.col("predicted_kw") + F.col("bias_kw"))
+    corrected = attach(val, bias).withColumn("predicted_kw", F.col("predicted_kw") + F.col("bias_kw"))
     band = residual_p90(corrected, [KEY], floor_kw=FLOOR_KW)
     figures = materialise(
         indexed.select(KEY)
