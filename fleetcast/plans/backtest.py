@@ -54,7 +54,7 @@ def with_model_id(df: DataFrame) -> DataFrame:
     """``persistence-T1-6h`` and the like."""
     name = F.concat_ws(
         "-",
-        F.regexp_replace("model_type", "_", "-"),
+        F.translate("model_type", "_", "-"),
         KEY,
         F.concat(F.col("horizon_hours").cast("string"), F.lit("h")),
     )
@@ -89,24 +89,26 @@ def baseline_predictions(
     for h, n in steps.items():
         predicted = {"persistence": f"_base_{h}", "power_curve": THEORETICAL, "rolling_mean": f"_roll_{h}"}
         for model in models:
-            entry = F.struct(
-                F.lit(model).alias("model_type"),
-                F.lit(h).alias("horizon_hours"),
-                F.col(predicted[model]).alias("predicted_kw"),
-                F.col(f"_base_{h}").alias("baseline_kw"),
-            )
             known = F.col(ROW) >= n
             if model == "rolling_mean":
                 known = known & F.col(predicted[model]).isNotNull()
-            entries.append(F.when(known, entry))
+            entries.append(
+                F.struct(
+                    F.lit(model).alias("model_type"),
+                    F.lit(h).alias("horizon_hours"),
+                    F.col(predicted[model]).alias("predicted_kw"),
+                    F.col(f"_base_{h}").alias("baseline_kw"),
+                    known.alias("_known"),
+                )
+            )
     unfolded = rows.where(F.col("split") != "train").select(
         KEY,
         TS,
         "split",
         F.col(POWER).alias("actual_kw"),
-        F.inline(F.filter(F.array(*entries), lambda x: x.isNotNull())),
+        F.inline(F.array(*entries)),
     )
-    return with_model_id(unfolded)
+    return with_model_id(unfolded.where("_known").drop("_known"))
 
 
 def residual_intervals(predictions: DataFrame, default_p90: float = 50.0) -> DataFrame:
