@@ -99,13 +99,13 @@ def mix(
     slim = docs.select(column(source_col).alias("source"), size_of(column(text_col)).alias("size"), point.alias("point"))
     sized = written(slim, "mix-sizes")
     state = thresholds(sized, source_targets(sized, weights, most)).select(
-        F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "whole", "below"
+        F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("below").alias("__below")
     )
-    once_more = (point < F.col("below")).cast("long")
+    once_more = (point < F.col("__below")).cast("long")
     return (
         docs.join(state, column(source_col).eqNullSafe(F.col("__s")))
-        .withColumns({"__size": size_of(column(text_col)), "__repeats": F.col("whole") + once_more})
-        .drop("__s", "whole", "below")
+        .withColumns({"__size": size_of(column(text_col)), "__repeats": F.col("__whole") + once_more})
+        .drop("__s", "__whole", "__below")
     )
 
 
