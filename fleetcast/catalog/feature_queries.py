@@ -10,7 +10,7 @@ from fleetcast.functions import columns as cols
 from fleetcast.operators import cleaning, features, splits
 from fleetcast.operators.timeline import ROW, TOTAL, along_timeline, last_rows, with_row_index
 from fleetcast.plans import backtest
-from fleetcast.schemas import KEY, MEASURES, POWER, TS, WIND
+from fleetcast.schemas import KEY, MEASURES, POWER, SEQ, TS, WIND
 
 
 def indexed(spark, sf_dir):
@@ -411,34 +411,70 @@ def window_split(spark, sf_dir):
     return marked.select(KEY, F.col(ROW).alias("start_index"), "split")
 
 
+def _gappy(spark, sf_dir):
+    """All rows, every second one and those after it seven minutes later than before."""
+    pair = F.floor(F.floor(F.col(SEQ) / 4) / 2)
+    return scada(spark, sf_dir).withColumn(TS, cols.plus_minutes(F.col(TS), 7 * pair))
+
+
+_GAPPY = """
+    WITH gappy AS (SELECT * REPLACE ("timestamp" + to_minutes(7*((ingest_seq//4)//2)) AS "timestamp") FROM scada)
+"""
+
+
 @query(
     "a19_cadence",
-    """
+    _GAPPY
+    + """
     SELECT asset_id, quantile_cont(d, 5e-1) AS step_minutes FROM
       (SELECT asset_id, (epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY asset_id
-              ORDER BY "timestamp")))/6e7 AS d FROM scada WHERE ingest_seq % 28 < 16) WHERE d IS NOT NULL
+              ORDER BY "timestamp")))/6e7 AS d FROM gappy) WHERE d IS NOT NULL
     GROUP BY asset_id
     """,
     "step_minutes",
 )
 def cadence(spark, sf_dir):
-    """Over a timeline with gaps."""
-    return splits.cadence(with_row_index(scada(spark, sf_dir).where("ingest_seq % 28 < 16")))
+    """Over a timeline whose steps alternate between 10 and 17 minutes."""
+    return splits.cadence(with_row_index(_gappy(spark, sf_dir)))
 
 
 @query(
     "a19_cadence_upper",
-    """
+    _GAPPY
+    + """
     SELECT asset_id, max(CASE WHEN k = n // 2 THEN d END) AS step_minutes FROM
       (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY asset_id) AS n
        FROM (SELECT asset_id, (epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY asset_id
-                    ORDER BY "timestamp")))/6e7 AS d FROM scada WHERE ingest_seq % 28 < 8) WHERE d > 0)
+                    ORDER BY "timestamp")))/6e7 AS d FROM gappy) WHERE d > 0)
     GROUP BY asset_id
     """,
     "step_minutes",
 )
 def cadence_upper(spark, sf_dir):
-    return splits.cadence(with_row_index(scada(spark, sf_dir).where("ingest_seq % 28 < 8")), upper=True)
+    return splits.cadence(with_row_index(_gappy(spark, sf_dir)), upper=True)
+
+
+_SHORT = """
+    WITH fleet AS (SELECT * REPLACE (CASE WHEN asset_id = 'T1' AND row_index < 50 THEN 'T0' ELSE asset_id END AS asset_id)
+                   FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY "timestamp") - 1 AS row_index FROM scada)),
+    numbered AS (SELECT asset_id, "timestamp", row_number() OVER (PARTITION BY asset_id ORDER BY "timestamp") - 1 AS row_index,
+                        count(*) OVER (PARTITION BY asset_id) AS n FROM fleet)
+    SELECT asset_id, row_index,
+           CASE WHEN n < 100 THEN NULL WHEN row_index < CAST(floor(n*7e-1) AS BIGINT) THEN 'train'
+                WHEN row_index < CAST(floor(n*(7e-1+15e-2)) AS BIGINT) THEN 'val' ELSE 'test' END AS split,
+           CASE WHEN n < 100 THEN concat('too few rows to split: ', CAST(n AS VARCHAR), ' of 100') END AS split_problem
+    FROM numbered
+"""
+
+
+@query("t2_split_with_short_asset", f"SELECT * FROM ({_SHORT}) AS parts")
+def split_with_short_asset(spark, sf_dir):
+    """An asset of 50 rows among the others: it is set aside with a reason, and the rest are split."""
+    first = with_row_index(scada(spark, sf_dir)).withColumn(
+        KEY, F.when((F.col(KEY) == "T1") & (F.col(ROW) < 50), F.lit("T0")).otherwise(F.col(KEY))
+    )
+    fleet = with_row_index(first.drop(ROW, TOTAL))
+    return splits.row_split(fleet, strict=False).select(KEY, F.col(ROW).alias("row_index"), "split", "split_problem")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import query
 from fleetcast.catalog.testview import dirty_scada, scada, table
-from fleetcast.functions.columns import null_if_nan, parsed_timestamp, wrapped_direction
+from fleetcast.functions.columns import null_if_nan, parsed_timestamp, plus_minutes, wrapped_direction
 from fleetcast.operators import cleaning, quality
 from fleetcast.schemas import KEY, MEASURES, POWER, SEQ, TS, WIND
 from fleetcast.session import new_table_path
@@ -207,7 +207,7 @@ _REPORT = f"""
            CAST(sum(CASE WHEN wind_direction_deg < 0 OR wind_direction_deg >= 360 THEN 1 ELSE 0 END) AS BIGINT)
              AS wind_direction_out_of_range,
            CAST(sum(CASE WHEN active_power_kw < 0 THEN 1 ELSE 0 END) AS BIGINT) AS active_power_negative,
-           max(repeats_in_arrival + steps_back) = 0 AS monotonic, true AS monotonic_sorted
+           max(repeats_in_arrival + steps_back) = 0 AS monotonic
     FROM dirty d JOIN ({_ARRIVAL}) a ON a.asset_id = d.asset_id GROUP BY d.asset_id
 """
 
@@ -302,13 +302,16 @@ def record_summary(spark, sf_dir):
            CAST(coalesce(sum(greatest((epoch_us("timestamp") - epoch_us(previous)) // 600000000 - 1, 0)), 0) AS BIGINT)
              AS missing_steps
     FROM (SELECT *, lag("timestamp") OVER (PARTITION BY asset_id ORDER BY "timestamp") AS previous
-          FROM dirty WHERE ingest_seq % 4 = 0 AND ingest_seq % 7 <> 0)
+          FROM (SELECT * REPLACE ("timestamp" + to_minutes(30*(epoch_us("timestamp") // 30000000000)) AS "timestamp") FROM dirty
+                QUALIFY row_number() OVER (PARTITION BY asset_id, "timestamp" ORDER BY ingest_seq DESC) = 1))
     GROUP BY asset_id, CAST("timestamp" AS DATE)
     """,
 )
 def missingness(spark, sf_dir):
-    rows = dirty_scada(spark, sf_dir).where("ingest_seq % 4 = 0 AND ingest_seq % 7 <> 0")
-    return quality.missingness(rows)
+    """All rows, repeats included, with three steps missing after every fifty."""
+    rows = dirty_scada(spark, sf_dir)
+    fifties = F.floor(F.unix_micros(F.col(TS).cast("timestamp")) / 30_000_000_000)
+    return quality.missingness(rows.withColumn(TS, plus_minutes(F.col(TS), 30 * fifties)))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import BACKTEST, query
@@ -362,14 +364,17 @@ def best_model(spark, sf_dir):
            round(sqrt(avg((actual_kw - predicted_kw)*(actual_kw - predicted_kw))), 1) AS rmse_kw,
            round(avg(actual_kw - predicted_kw), 1) AS bias_kw,
            avg(CASE WHEN actual_kw BETWEEN p10 AND p90 THEN 1e0 ELSE 0e0 END) AS coverage
-    FROM outp WHERE "timestamp" >= TIMESTAMP '2018-01-16 00:00:00' AND "timestamp" < TIMESTAMP '2018-01-17 12:00:00'
+    FROM outp WHERE "timestamp" >= (SELECT max("timestamp") FROM scada) - to_hours(36)
+                AND "timestamp" < (SELECT max("timestamp") FROM scada)
     GROUP BY asset_id, model_id
     """,
     "mae_kw rmse_kw bias_kw coverage",
     BACKTEST,
 )
 def window_scores(spark, sf_dir):
-    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2018-01-16 00:00:00", "2018-01-17 12:00:00"))
+    """The 36 hours before the newest row."""
+    newest = scada(spark, sf_dir).agg(F.max(TS)).first()[0]
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in (newest - timedelta(hours=36), newest))
     return metrics.window_scores(outputs(spark, sf_dir), start, end, [KEY, "model_id"])
 
 
@@ -434,22 +439,24 @@ def metrics_by_regime(spark, sf_dir):
     return metrics.metrics_by_regime(outputs(spark, sf_dir))
 
 
-_SERIES = """
-    SELECT asset_id, "timestamp", actual_kw, pers AS persistence, roll AS rolling_mean FROM
-      (SELECT asset_id, "timestamp", max(actual_kw) AS actual_kw,
-              max(CASE WHEN model_type = 'persistence' THEN predicted_kw END) AS pers,
-              max(CASE WHEN model_type = 'rolling_mean' THEN predicted_kw END) AS roll
-       FROM outp WHERE horizon_hours = 1 GROUP BY asset_id, "timestamp")
-"""
+_SERIES_DOUBLES = "actual_kw persistence power_curve rolling_mean"
 
 
-@query("a15_pivot_series", _SERIES, "actual_kw persistence rolling_mean", BACKTEST)
-def pivot_series(spark, sf_dir):
-    rows = outputs(spark, sf_dir, horizons=[1], models=["persistence", "rolling_mean"])
+def _series_sql(cell: str) -> str:
+    models = ", ".join(
+        f"{cell} FILTER (WHERE model_type = '{m}') AS {m}" for m in ("persistence", "power_curve", "rolling_mean")
+    )
+    return f'SELECT asset_id, "timestamp", max(actual_kw) AS actual_kw, {models} FROM outp GROUP BY asset_id, "timestamp"'
+
+
+def _pivoted(spark, sf_dir, **options):
+    """Three values per cell, one of each horizon."""
+    rows = outputs(spark, sf_dir)
     values = {"actual_kw": F.col("actual_kw"), "predicted": F.col("predicted_kw")}
     long = rows.select(
         KEY,
         TS,
+        "horizon_hours",
         F.inline(
             F.array(
                 F.struct(F.lit("actual_kw").alias("series"), values["actual_kw"].alias("value")),
@@ -457,28 +464,37 @@ def pivot_series(spark, sf_dir):
             )
         ),
     )
-    return reporting.pivot_series(long, ["actual_kw", "persistence", "rolling_mean"])
+    return reporting.pivot_series(long, _SERIES_DOUBLES.split(), **options)
+
+
+@query("a15_pivot_series", _series_sql("arg_max(predicted_kw, horizon_hours)"), _SERIES_DOUBLES, BACKTEST)
+def pivot_series(spark, sf_dir):
+    """Of the three forecasts for one time the one made first."""
+    return _pivoted(spark, sf_dir, how="last", order="horizon_hours")
+
+
+@query("a15_pivot_mean", _series_sql("avg(predicted_kw)"), _SERIES_DOUBLES, BACKTEST)
+def pivot_mean(spark, sf_dir):
+    return _pivoted(spark, sf_dir, how="mean")
 
 
 @query(
     "u2_error_series",
     """
-    SELECT asset_id, "timestamp", actual_kw - predicted_kw AS error_kw, model_type AS series FROM outp
-    WHERE horizon_hours = 1 AND model_type <> 'power_curve'
+    SELECT asset_id, "timestamp", actual_kw - predicted_kw AS error_kw, model_id AS series FROM outp
     """,
     "error_kw",
     BACKTEST,
 )
 def error_series(spark, sf_dir):
-    rows = outputs(spark, sf_dir, horizons=[1])
-    return reporting.error_series({m: rows.where(F.col("model_type") == m) for m in ("persistence", "rolling_mean")})
+    return reporting.error_series(outputs(spark, sf_dir), "model_id")
 
 
 _U1 = """
     SELECT asset_id, "timestamp", active_power_kw AS value, 'Observed history' AS series, 'history' AS kind
     FROM sp WHERE row_index >= val_end - 144 AND row_index < val_end
     UNION ALL SELECT asset_id, "timestamp", active_power_kw, 'Gold data', 'actual' FROM sp WHERE split = 'test'
-    UNION ALL SELECT asset_id, "timestamp", predicted_kw, model_type, 'model' FROM outp WHERE horizon_hours = 1
+    UNION ALL SELECT asset_id, "timestamp", predicted_kw, model_id, 'model' FROM outp
 """
 
 
@@ -487,9 +503,8 @@ def long_series(spark, sf_dir):
     rows = splits.row_split(indexed(spark, sf_dir))
     _, val_end = splits.row_bounds(F.col("n_rows"))
     history = rows.where((F.col(ROW) >= val_end - 144) & (F.col(ROW) < val_end))
-    predicted = outputs(spark, sf_dir, horizons=[1])
-    models = {m: predicted.where(F.col("model_type") == m) for m in backtest.BASELINES}
-    return reporting.long_series(history, rows.where("split = 'test'"), models, "predicted_kw")
+    points = outputs(spark, sf_dir)
+    return reporting.long_series(history, rows.where("split = 'test'"), points, "model_id", "predicted_kw")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetcast.catalog.base import query
 from fleetcast.catalog.forecast_queries import _POWER_SERIES, _ramps_sql
 from fleetcast.catalog.testview import dirty_rows, scada_rows, table
-from fleetcast.schemas import KEY, TS
+from fleetcast.schemas import KEY, SEQ, TS
 from fleetcast.session import new_table_path
 from fleetcast.streaming import scada as streams
 
@@ -49,6 +49,19 @@ def _counters(stream: DataFrame, name: str) -> DataFrame:
     return stream.sparkSession.table(table_name)
 
 
+CLOSING = "closing"
+
+
+def _closed(rows: DataFrame) -> DataFrame:
+    """The rows, and one of another asset, long after them, made from the first event."""
+    first = (F.col(SEQ) == 0).cast("int")
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), first)))
+    late = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
+    return copies.withColumns(
+        {KEY: F.when(F.col("_copy") == 1, F.lit(CLOSING)).otherwise(F.col(KEY)), TS: F.when(F.col("_copy") == 1, late).otherwise(F.col(TS))}
+    ).drop("_copy")
+
+
 def _wall_time(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -64,15 +77,15 @@ def stream_dedup(spark, sf_dir):
     """
     SELECT asset_id, date_trunc('hour', "timestamp") AS window_start, count(*) AS rows,
            avg(active_power_kw) AS mean_power_kw, avg(wind_speed_mps) AS mean_wind_mps
-    FROM scada WHERE date_trunc('hour', "timestamp") + to_hours(2) <= (SELECT max("timestamp") FROM scada)
+    FROM scada
     GROUP BY asset_id, date_trunc('hour', "timestamp")
     """,
     "mean_power_kw mean_wind_mps",
 )
 def stream_hourly(spark, sf_dir):
-    """Hours that the watermark, one hour behind the newest row, has closed."""
-    hourly = streams.tumbling(scada_rows(_events(spark, sf_dir)))
-    return _wall_time(_finished(hourly, "hourly"), "window_start")
+    """All hours: a closing row of another asset moves the watermark past the last one."""
+    hourly = streams.tumbling(_closed(scada_rows(_events(spark, sf_dir))))
+    return _wall_time(_finished(hourly, "hourly"), "window_start").where(F.col(KEY) != CLOSING)
 
 
 @query(
@@ -81,13 +94,12 @@ def stream_hourly(spark, sf_dir):
     SELECT asset_id, start_time, end_time, power_before_kw, power_after_kw, duration_minutes//10 - 1 AS steps,
            power_change_kw, direction, risk_level
     FROM ({_ramps_sql(_POWER_SERIES)}) r
-    WHERE end_time < (SELECT max("timestamp") FROM scada s WHERE s.asset_id = r.asset_id)
     """,
     "power_before_kw power_after_kw power_change_kw",
 )
 def stream_ramps(spark, sf_dir):
-    """Runs that have ended; one still open at the last row is not given out."""
-    runs = streams.ramp_runs(scada_rows(_events(spark, sf_dir)))
+    """All runs: those still open at the last row are closed when the watermark has passed them."""
+    runs = streams.ramp_runs(_closed(scada_rows(_events(spark, sf_dir))))
     return _wall_time(_finished(runs, "ramps"), "start_time", "end_time")
 
 

@@ -16,6 +16,7 @@ from fleetcast.schemas import (
     RAW_TO_INTERNAL,
     REQUIRED,
     SEQ,
+    SOURCE_FILE,
     THEORETICAL,
     TS,
     WIND,
@@ -27,7 +28,7 @@ def rename_raw(df: DataFrame, strict: bool = True) -> DataFrame:
     renamed = df.withColumnsRenamed(RAW_TO_INTERNAL)
     missing = sorted(set(REQUIRED) - set(renamed.columns))
     if strict and missing:
-        raise ValueError(f"Missing required SCADA columns: {missing}")
+        raise ValueError(f"the table lacks these SCADA columns: {missing}")
     return renamed
 
 
@@ -42,7 +43,7 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
 
 
 def drop_repeats(df: DataFrame, keep: str = "last") -> DataFrame:
-    """One row per (asset, timestamp), the first or last by ``ingest_seq``.
+    """One row per (asset, timestamp), the first or last by ``ingest_seq``, within ``ingest_file`` where there is one.
 
     An aggregate rather than ``row_number``: copies are combined before the shuffle, so a timestamp
     that was sent a billion times costs no task more than one row.
@@ -50,14 +51,20 @@ def drop_repeats(df: DataFrame, keep: str = "last") -> DataFrame:
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
     pick, end = (F.max_by, F.max) if keep == "last" else (F.min_by, F.min)
-    others = [c for c in df.columns if c not in (KEY, TS, SEQ)]
+    others = [c for c in df.columns if c not in (KEY, TS, SEQ, SOURCE_FILE)]
+    if SOURCE_FILE in df.columns:
+        # lines are numbered per file: the file comes first, and one row is picked whole
+        order = F.struct(SOURCE_FILE, SEQ)
+        picked = df.groupBy(KEY, TS).agg(pick(F.struct(*others, SEQ), order).alias("_row"))
+        return picked.select(KEY, TS, *[F.col(f"_row.{c}").alias(c) for c in (*others, SEQ)])
     return df.groupBy(KEY, TS).agg(*[pick(c, SEQ).alias(c) for c in others], end(SEQ).alias(SEQ))
 
 
 def normalise(df: DataFrame, keep: str = "last") -> DataFrame:
     """names, timestamps, direction modulo 360, one row per timestamp."""
     rows = parse_timestamps(rename_raw(df))
-    rows = rows.select(KEY, TS, *[null_if_nan(F.col(c).cast("double")).alias(c) for c in MEASURES], SEQ)
+    order = [c for c in (SOURCE_FILE, SEQ) if c in rows.columns]
+    rows = rows.select(KEY, TS, *[null_if_nan(F.col(c).cast("double")).alias(c) for c in MEASURES], *order)
     return drop_repeats(rows.withColumn(DIRECTION, wrapped_direction(F.col(DIRECTION))), keep)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,12 @@ def alignment_scores(aligned: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFr
 
 
 def with_weather(observations: DataFrame, weather: DataFrame) -> DataFrame:
-    """The weather row of the hour an observation falls in; nulls where there is none."""
-    hourly = weather.select(
-        KEY,
-        F.date_trunc("hour", TS).cast("timestamp_ntz").alias("_hour"),
-        *[F.col(c).alias(f"weather_{c}") for c in weather.columns if c not in (KEY, TS)],
+    """The weather row of the hour an observation falls in, the latest if several landed; nulls where there is none."""
+    others = [c for c in weather.columns if c not in (KEY, TS)]
+    hourly = (
+        weather.groupBy(KEY, F.date_trunc("hour", TS).cast("timestamp_ntz").alias("_hour"))
+        .agg(F.max(F.struct(TS, *others)).alias("_latest"))
+        .select(KEY, "_hour", *[F.col(f"_latest.{c}").alias(f"weather_{c}") for c in others])
     )
     return (
         observations.withColumn("_hour", F.date_trunc("hour", TS).cast("timestamp_ntz"))
@@ -44,33 +45,36 @@ def with_weather(observations: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def long_series(
-    history: DataFrame, actual: DataFrame, models: Mapping[str, DataFrame], value: str = "p50"
+    history: DataFrame, actual: DataFrame, points: DataFrame, series: str | Column, value: str = "p50"
 ) -> DataFrame:
-    """History, actuals and each model's points below each other; rows without a value are dropped."""
+    """History, actuals and all models' points below each other; rows without a value are dropped.
+
+    ``points`` holds every model's rows, which ``series`` names, so the models are planned and read once.
+    """
 
-    def part(df: DataFrame, column: str, series: str, kind: str) -> DataFrame:
+    def part(df: DataFrame, column: str, series: Column, kind: str) -> DataFrame:
         number = F.col(column).try_cast("double")
-        return df.select(KEY, TS, number.alias("value"), F.lit(series).alias("series"), F.lit(kind).alias("kind"))
+        return df.select(KEY, TS, number.alias("value"), series.alias("series"), F.lit(kind).alias("kind"))
 
-    out = part(history, POWER, "Observed history", "history").unionByName(part(actual, POWER, "Gold data", "actual"))
-    for label, points in models.items():
-        out = out.unionByName(part(points, value, label, "model"))
+    named = F.col(series) if isinstance(series, str) else series
+    out = part(history, POWER, F.lit("Observed history"), "history")
+    out = out.unionByName(part(actual, POWER, F.lit("Gold data"), "actual")).unionByName(part(points, value, named, "model"))
     return out.dropna(subset=[TS, "value", "series"])
 
 
-def error_series(outputs: Mapping[str, DataFrame]) -> DataFrame:
-    """Actual minus predicted of several models below each other."""
-    out = None
-    for label, df in outputs.items():
-        error = (F.col("actual_kw") - F.col("predicted_kw")).alias("error_kw")
-        part = df.select(KEY, TS, error, F.lit(label).alias("series"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def error_series(outputs: DataFrame, series: str | Column = "model_type") -> DataFrame:
+    """Actual minus predicted of all models below each other, in one pass."""
+    named = F.col(series) if isinstance(series, str) else series
+    return outputs.select(KEY, TS, (F.col("actual_kw") - F.col("predicted_kw")).alias("error_kw"), named.alias("series"))
 
 
-def pivot_series(long: DataFrame, series: Sequence[str], value: str = "value", how: str = "last") -> DataFrame:
-    """One column per series. ``last`` keeps one value per cell (the largest if several), ``mean`` averages."""
-    agg = F.avg(value) if how == "mean" else F.max(value)
+def pivot_series(
+    long: DataFrame, series: Sequence[str], value: str = "value", how: str = "last", order: str | Column = TS
+) -> DataFrame:
+    """One column per series. Of several values in a cell ``last`` keeps the one that is last by ``order``, ``mean`` averages."""
+    if how not in ("last", "mean"):
+        raise ValueError("how must be 'last' or 'mean'")
+    agg = F.avg(value) if how == "mean" else F.max_by(value, order)
     return long.groupBy(KEY, TS).pivot("series", list(series)).agg(agg)
 
 
@@ -99,9 +103,13 @@ def describe(df: DataFrame, columns: Sequence[str] = tuple(MEASURES)) -> DataFra
 
 
 def wind_histogram(df: DataFrame, bins: int = 20, column: str = WIND) -> DataFrame:
-    """Rows per equal-width bin of an asset's range, closed on the right; the lowest value is in bin 0."""
+    """Rows per equal-width bin of an asset's range, closed on the right; the lowest value is in bin 0.
+
+    Where all values are equal they fill bin 0.
+    """
     span = df.groupBy(KEY).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    place = F.ceil((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins) - 1
+    width = F.col("_high") - F.col("_low")
+    place = F.when(width > 0, F.ceil((F.col(column) - F.col("_low")) / width * bins) - 1).otherwise(F.lit(0))
     number = F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0))
     return (
         attach(df.select(KEY, TS, column).where(F.col(column).isNotNull()), span)

@@ -11,6 +11,7 @@ WIND = "wind_speed_mps"
 THEORETICAL = "theoretical_power_kwh"
 DIRECTION = "wind_direction_deg"
 SEQ = "ingest_seq"
+SOURCE_FILE = "ingest_file"
 
 # Raw SCADA export headers and their internal names.
 RAW_TO_INTERNAL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -32,7 +32,7 @@ def save_model(
     target: str = "active_power_kw",
     trained_at: datetime | None = None,
 ) -> str:
-    """The model under its id, and one row appended to the registry."""
+    """The model under its id, and one row appended to the registry, stamped with UTC wall time."""
     models, registry = _folders(root)
     path = f"{models}/{model_id}"
     model.write().overwrite().save(path)
@@ -43,7 +43,7 @@ def save_model(
         feature_schema,
         target,
         horizon_hours,
-        trained_at or datetime.now(),
+        trained_at or datetime.now(UTC).replace(tzinfo=None),
         *[scores.get(m) for m in ("mae", "rmse", "mape", "skill_score", "coverage_p90")],
         config or {},
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetcast.operators.cleaning import normalise, restore_raw
-from fleetcast.schemas import KEY, MEASURES, RAW_CSV_SCHEMA, REQUIRED, SCADA_SCHEMA, SEQ, TS
+from fleetcast.schemas import KEY, MEASURES, RAW_CSV_SCHEMA, REQUIRED, SCADA_SCHEMA, SEQ, SOURCE_FILE, TS
 
 _PAGE = 4096
 
@@ -28,11 +28,11 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"asset_id=([^/]+)/", 1)
     asset = F.when(folder != "", folder).otherwise(stem)
-    return raw.withColumns({KEY: asset, SEQ: _line_order()})
+    return raw.withColumns({KEY: asset, SOURCE_FILE: F.col("_metadata.file_path"), SEQ: _line_order()})
 
 
 def ingest(spark: SparkSession, path: str, keep: str = "first") -> DataFrame:
-    """S1 + F1: raw files to clean rows; of repeated timestamps the first line is kept."""
+    """S1 + F1: raw files to clean rows; of repeated timestamps the first line is kept, files in the order of their paths."""
     return normalise(read_raw_csv(spark, path), keep)
 
 

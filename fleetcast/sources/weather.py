@@ -20,10 +20,28 @@ _HOURLY = ", ".join(f"{name}: array<string>" for name in ("time", *HOURLY_TO_INT
 RESPONSE_DDL = f"hourly struct<{_HOURLY}>"
 
 
-def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON response per line (or file), with the asset in the folder name (``asset_id=T1/``)."""
-    lines = spark.read.text(path, wholetext=False)
-    return flatten_hourly(lines.withColumnRenamed("value", "response"))
+CORRUPT = "corrupt_response"
+
+
+def read_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """asset_id, hourly, corrupt_response: landed responses, the asset in the folder name (``asset_id=T1/``).
+
+    One response per line, or with ``multi_line`` one per file, however it is laid out. What is no JSON is kept as
+    ``corrupt_response``, not lost.
+    """
+    schema = f"{RESPONSE_DDL}, {CORRUPT} string, {KEY} string"
+    return spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def read_weather_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Weather rows of all responses that can be read; ``unreadable_responses`` counts the rest."""
+    return _rows(read_responses(spark, path, multi_line).select(KEY, F.col("hourly").alias("h")))
+
+
+def unreadable_responses(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Per asset the responses that are no JSON or have no ``hourly`` object."""
+    found = read_responses(spark, path, multi_line)
+    return found.groupBy(KEY).agg(F.count("*").alias("responses"), F.count_if(F.col("hourly").isNull()).alias("unreadable"))
 
 
 def flatten_hourly(responses: DataFrame, column: str = "response") -> DataFrame:
@@ -31,7 +49,10 @@ def flatten_hourly(responses: DataFrame, column: str = "response") -> DataFrame:
 
     A short or missing array, and a value that is no number, give null; a bad time gives no row.
     """
-    parsed = responses.select(KEY, F.from_json(column, RESPONSE_DDL)["hourly"].alias("h"))
+    return _rows(responses.select(KEY, F.from_json(column, RESPONSE_DDL)["hourly"].alias("h")))
+
+
+def _rows(parsed: DataFrame) -> DataFrame:
     arrays = [
         F.coalesce(F.col("h")[name], F.array().cast("array<string>")).alias(name)
         for name in ("time", *HOURLY_TO_INTERNAL)

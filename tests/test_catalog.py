@@ -20,6 +20,10 @@ SLOW = {
 }
 
 
+# 250 rows an asset hold no such row.
+EMPTY_AT_THIS_SCALE: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)
@@ -27,8 +31,9 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", [n for n in entry_module.queries() if n not in SLOW])
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
-    verdict, _, _ = compare(spark, duck, name, sf_dir)
+    verdict, n, _ = compare(spark, duck, name, sf_dir)
     assert verdict in ("equal", "close", "rows only")
+    assert n > 0 or name in EMPTY_AT_THIS_SCALE
 
 
 def test_checks_belong_to_queries():
