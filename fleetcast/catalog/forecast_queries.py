@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import BACKTEST, query
@@ -343,64 +345,207 @@ def normalised_target(spark, sf_dir):
     return sequences.denormalise_target(scaled, stats).select(KEY, TS, "normalised", POWER)
 
 
-# ---- learned models (no SQL equivalent) ----------------------------------------------------------
+# ---- learned models ------------------------------------------------------------------------------
+# SQL can't fit them: it tells which rows there must be, and the queries say of each whether its values hold together.
+
+LEARNED_HOURS = (1, 6, 24)
+# Rows of the training look-back, and the windows a sequence model needs at least.
+_REACH, _WINDOW_ROWS, _LEAST_WINDOWS = 48, 143, 200
+_FITS = f"""
+    (SELECT horizon_hours FROM (SELECT hor.horizon_hours, sum(greatest(t.train_end - ({_WINDOW_ROWS} + hor.h), 0)) AS windows
+     FROM (SELECT DISTINCT asset_id, train_end FROM bnd) t CROSS JOIN hor GROUP BY hor.horizon_hours)
+     WHERE windows >= {_LEAST_WINDOWS})
+"""
+_TREES_FIT = f"""
+    (SELECT hor.horizon_hours FROM (SELECT DISTINCT asset_id, train_end FROM bnd) t CROSS JOIN hor
+     GROUP BY hor.horizon_hours HAVING sum(greatest(t.train_end - ({_REACH} + hor.h), 0)) > 0)
+"""
+
+
+def _tested_sql(model_type: str, reach: int, where: str = "true") -> str:
+    name = model_type.replace("_", "-")
+    return f"""
+    SELECT asset_id, "timestamp", actual_kw, baseline_kw, concat('{name}-', asset_id, '-', CAST(horizon_hours AS VARCHAR), 'h') AS model_id,
+           '{model_type}' AS model_type, CAST(horizon_hours AS INTEGER) AS horizon_hours, true AS sound
+    FROM anc WHERE split = 'test' AND row_index - h >= {reach} AND {where}
+    """
+
+
+def _sound(low: str = "p10", mid: str = "p50", high: str = "p90"):
+    """Finite, not negative, and in order."""
+    values = [F.col(c) for c in (low, mid, high)]
+    finite = [(v >= 0) & (v < F.lit(float("inf"))) & ~F.isnan(v) for v in values]
+    return (finite[0] & finite[1] & finite[2] & (values[0] <= values[1]) & (values[1] <= values[2])).alias("sound")
+
+
+@lru_cache(maxsize=8)
+def _boosted(spark, sf_dir, hours):
+    """One fit serves all queries of a session; ``None`` where no asset has a row to train on."""
+    try:
+        return learned.fit_boosted(indexed(spark, sf_dir), hours)
+    except ValueError:
+        return None
 
-TREES = {"max_iter": 10, "max_depth": 4, "complete_rows": True}
 
+@lru_cache(maxsize=8)
+def _sequence(spark, sf_dir, hours):
+    return learned.fit_sequence(indexed(spark, sf_dir), hours)
 
-WINDOWS = {"min_train": 50}
 
+def _all_hours(parts, schema_from):
+    """The parts below each other; with none an empty table of that query's columns."""
+    out = schema_from
+    for part in parts:
+        out = part if out is schema_from else out.unionByName(part)
+    return out
 
-@query("b4_boosted_trees")
+
+def _tested(df):
+    return df.select(
+        KEY, TS, "actual_kw", "baseline_kw", "model_id", "model_type", "horizon_hours", _sound("p10", "predicted_kw", "p90")
+    )
+
+
+def _nothing_tested(spark):
+    kind = "timestamp timestamp_ntz, actual_kw double, baseline_kw double, model_id string, model_type string, horizon_hours int"
+    return spark.createDataFrame([], f"{KEY} string, {kind}, sound boolean")
+
+
+@query("b4_boosted_trees", _tested_sql(learned.GBT_TYPE, _REACH, f"horizon_hours IN {_TREES_FIT}"), "actual_kw baseline_kw", BACKTEST)
 def boosted_trees(spark, sf_dir):
-    return learned.fit_boosted(indexed(spark, sf_dir), 1, **TREES)[1]
+    parts = [_tested(f[1]) for h in LEARNED_HOURS if (f := _boosted(spark, sf_dir, h))]
+    return _all_hours(parts, _nothing_tested(spark))
 
 
-@query("b5_sequence_model")
+@query(
+    "b5_sequence_model",
+    _tested_sql(learned.SEQUENCE_TYPE, _WINDOW_ROWS, f"horizon_hours IN {_FITS}"),
+    "actual_kw baseline_kw",
+    BACKTEST,
+)
 def sequence_model(spark, sf_dir):
-    model, scored = learned.fit_sequence(indexed(spark, sf_dir), 1, **WINDOWS)
-    return learned.sequence_outputs(model, scored)
+    fits = [f for h in LEARNED_HOURS if (f := _sequence(spark, sf_dir, h))]
+    return _all_hours([_tested(learned.sequence_outputs(*f)) for f in fits], _nothing_tested(spark))
 
 
-@query("c4_sequence_calibration")
+@query(
+    "c4_sequence_calibration",
+    f"""
+    SELECT asset_id, concat('{learned.SEQUENCE_TYPE.replace("_", "-")}-', asset_id, '-', CAST(horizon_hours AS VARCHAR), 'h') AS model_id,
+           '{learned.SEQUENCE_TYPE}' AS model_type, CAST(horizon_hours AS INTEGER) AS horizon_hours, count(*) AS n_cal, 9e-1 AS quantile_level,
+           true AS sound
+    FROM anc WHERE split = 'val' AND row_index - h >= {_WINDOW_ROWS} AND horizon_hours IN {_FITS} GROUP BY asset_id, horizon_hours
+    """,
+    "quantile_level",
+    BACKTEST,
+)
 def sequence_calibration(spark, sf_dir):
-    return learned.calibrate_sequence(learned.fit_sequence(indexed(spark, sf_dir), 1, **WINDOWS)[1])
+    fits = [f for h in LEARNED_HOURS if (f := _sequence(spark, sf_dir, h))]
+    keys = [KEY, "model_id", "model_type", "horizon_hours", "n_cal", "quantile_level"]
+    parts = [
+        learned.calibrate_sequence(f[1]).select(*keys, _sound("median_residual", "interval_q", "max_residual")) for f in fits
+    ]
+    kind = f"{KEY} string, model_id string, model_type string, horizon_hours int, n_cal long, quantile_level double, sound boolean"
+    return _all_hours(parts, spark.createDataFrame([], kind))
+
+
+_LATEST = f"""
+    SELECT asset_id, CAST(horizon_hours AS INTEGER) AS horizon_hours, max("timestamp") AS last_ts, true AS {{flag}}
+    FROM idx CROSS JOIN hor WHERE horizon_hours IN {_TREES_FIT} GROUP BY asset_id, horizon_hours
+"""
 
 
-@query("g6_boosted_latest")
+@query("g6_boosted_latest", _LATEST.format(flag="sound"), tables=BACKTEST)
 def boosted_latest(spark, sf_dir):
+    """One value per asset and horizon, straight from the model of that horizon."""
     rows = indexed(spark, sf_dir)
-    model, _ = learned.fit_boosted(rows, 1, **TREES)
-    return learned.predict_latest(model, rows)
+    parts = [
+        learned.predict_latest(f[0], rows).select(
+            KEY, F.lit(h).alias("horizon_hours"), "last_ts", _sound("predicted_kw", "predicted_kw", "predicted_kw")
+        )
+        for h in LEARNED_HOURS
+        if (f := _boosted(spark, sf_dir, h))
+    ]
+    return _all_hours(parts, None)
 
 
-@query("g7_boosted_roll_forward")
+@query(
+    "g7_boosted_roll_forward",
+    f"""
+    SELECT asset_id, CAST(k AS INTEGER) AS step, {_FUTURE} AS "timestamp", 'gradient-boosting-1h' AS model_id, 1 AS horizon_hours,
+           true AS sound, true AS widens
+    FROM ({_LAST}) CROSS JOIN range(1, 7) AS r(k)
+    """,
+)
 def boosted_roll_forward(spark, sf_dir):
-    rows = indexed(spark, sf_dir)
-    model, _ = learned.fit_boosted(rows, 1, **TREES)
-    return learned.roll_forward(model, rows)
+    points = learned.roll_forward(_boosted(spark, sf_dir, 1)[0], indexed(spark, sf_dir))
+    first = F.max(F.when(F.col("step") == 1, F.col("p90") - F.col("p50"))).over(Window.partitionBy(KEY))
+    widens = F.abs((F.col("p90") - F.col("p50")) / first - (1 + (F.col("step") - 1) / 5)) < 1e-3
+    return points.select(KEY, "step", TS, "model_id", "horizon_hours", _sound(), widens.alias("widens"))
 
 
-@query("g8_sequence_forecast")
+@query(
+    "g8_sequence_forecast",
+    f"""
+    SELECT asset_id, CAST(k AS INTEGER) AS step, {_FUTURE} AS "timestamp",
+           concat('{learned.SEQUENCE_TYPE}-', CAST(hor.horizon_hours AS VARCHAR), 'h') AS model_id, CAST(hor.horizon_hours AS INTEGER) AS horizon_hours,
+           true AS same_value
+    FROM ({_LAST}) CROSS JOIN hor CROSS JOIN range(1, 145) AS r(k) WHERE k <= h AND horizon_hours IN {_FITS}
+    """,
+    tables=BACKTEST,
+)
 def sequence_forecast(spark, sf_dir):
     rows = indexed(spark, sf_dir)
-    model, _ = learned.fit_sequence(rows, 1, **WINDOWS)
-    return learned.sequence_forecast(model, rows)
+    fits = [f for h in LEARNED_HOURS if (f := _sequence(spark, sf_dir, h))]
+    own = Window.partitionBy(KEY, "model_id")
+    same = (F.min("p50").over(own) == F.max("p50").over(own)) & (F.col("p10") <= F.col("p90"))
+    parts = [
+        learned.sequence_forecast(m, rows).select(KEY, "step", TS, "model_id", "horizon_hours", same.alias("same_value"))
+        for m, _ in fits
+    ]
+    kind = f"{KEY} string, step int, timestamp timestamp_ntz, model_id string, horizon_hours int, same_value boolean"
+    return _all_hours(parts, spark.createDataFrame([], kind))
+
+
+def _compared_sql(model_type: str, reach: int, where: str = "true") -> str:
+    return f"SELECT asset_id, model_id, model_type, horizon_hours FROM ({_tested_sql(model_type, reach, where)})"
 
 
-@query("b7_model_grid")
+@query(
+    "b7_model_grid",
+    f"""
+    SELECT asset_id, model_id, model_type, horizon_hours, count(*) AS test_rows, true AS sound
+    FROM (SELECT asset_id, model_id, model_type, horizon_hours FROM outp
+          UNION ALL {_compared_sql(learned.GBT_TYPE, _REACH, f"horizon_hours IN {_TREES_FIT}")}
+          UNION ALL {_compared_sql(learned.SEQUENCE_TYPE, _WINDOW_ROWS, f"horizon_hours IN {_FITS}")})
+    GROUP BY asset_id, model_id, model_type, horizon_hours
+    """,
+    tables=BACKTEST,
+)
 def model_grid(spark, sf_dir):
-    return backtest.comparison(learned.grid_outputs(indexed(spark, sf_dir), [1], trees=TREES))
+    """The comparison of all five models over three horizons, each fitted with its own settings."""
+    table = backtest.comparison(learned.grid_outputs(indexed(spark, sf_dir), LEARNED_HOURS))
+    sound = _sound("mae", "mae", "rmse") & F.col("coverage_p90").between(0, 1) & F.col("skill_score").isNotNull()
+    return table.select(KEY, "model_id", "model_type", "horizon_hours", "test_rows", sound.alias("sound"))
 
 
-@query("s9a_save_and_load_model")
+@query("s9a_save_and_load_model", _LATEST.format(flag="equal"), tables=BACKTEST)
 def save_and_load_model(spark, sf_dir):
-    """A fitted model scores the latest rows again after a round trip through the registry."""
+    """A fitted model of each horizon says the same of the latest rows after a round trip through the registry."""
     rows = indexed(spark, sf_dir)
-    model, _ = learned.fit_boosted(rows, 1, **TREES)
     root = new_table_path(spark, "models")
-    learned.save_boosted(spark, root, "gradient-boosting-1h", model)
-    return learned.predict_latest(learned.load_boosted(spark, root, "gradient-boosting-1h"), rows)
+    parts = []
+    for h in LEARNED_HOURS:
+        fitted = _boosted(spark, sf_dir, h)
+        if fitted is None:
+            continue
+        model = fitted[0]
+        learned.save_boosted(spark, root, f"gradient-boosting-{h}h", model)
+        before = learned.predict_latest(model, rows).select(KEY, "last_ts", F.col("predicted_kw").alias("fitted_kw"))
+        after = learned.predict_latest(learned.load_boosted(spark, root, f"gradient-boosting-{h}h"), rows)
+        equal = F.abs(F.col("predicted_kw") - F.col("fitted_kw")) < 1e-9
+        parts.append(after.join(before, [KEY, "last_ts"]).select(KEY, F.lit(h).alias("horizon_hours"), "last_ts", equal.alias("equal")))
+    return _all_hours(parts, None)
 
 
 # ---- registry and files --------------------------------------------------------------------------

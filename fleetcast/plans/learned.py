@@ -93,6 +93,8 @@ def fit_boosted(
 ) -> tuple[BoostedModel, DataFrame]:
     """Train on the change of power over the horizon; returns the model and its test outputs.
 
+    Raises ``ValueError`` if no asset has a train row.
+
     Train and val keep the active rows (P8) and weights (P9); boosting stops on the val error. The
     test rows are all rows of the test part, clipped at 0.
     """
@@ -106,6 +108,8 @@ def fit_boosted(
         .withColumn("is_val", F.col("split") == "val")
         .withColumn("weight", F.when(F.col("is_val"), F.lit(1.0)).otherwise(sample_weight(F.col(POWER))))
     )
+    if learn.where(~F.col("is_val")).isEmpty():
+        raise ValueError(f"no rows to train on: the look-back and {steps} steps ahead do not fit into the train part")
     pipeline = Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="features"),
@@ -434,17 +438,25 @@ def load_boosted(spark: SparkSession, root: str, model_id: str) -> BoostedModel:
     )
 
 
+def problem_table(spark: SparkSession, problems: Sequence[tuple[str, int, str]]) -> DataFrame:
+    """The models left out of a grid: model_type, horizon_hours, reason. A row per model and horizon at most."""
+    return spark.createDataFrame(list(problems), "model_type string, horizon_hours int, reason string")
+
+
 def grid_outputs(
     indexed: DataFrame,
     horizons: Sequence[int],
     models: Sequence[str] = (*BASELINES, GBT_TYPE, SEQUENCE_TYPE),
     trees: dict | None = None,
     step_minutes: float = DEFAULT_STEP_MINUTES,
+    problems: list[tuple[str, int, str]] | None = None,
 ) -> DataFrame:
     """Test outputs of all models and horizons in one table.
 
-    A model that cannot be fitted is reported and left out; the others still run.
+    A model that cannot be fitted does not stop the others: its type, horizon and the reason are added to ``problems``,
+    which ``problem_table`` shows beside the comparison.
     """
+    left_out = problems if problems is not None else []
     baselines = [m for m in models if m in BASELINES]
     parts = []
     if baselines:
@@ -461,8 +473,11 @@ def grid_outputs(
                     part = None if fitted is None else sequence_outputs(*fitted)
             except (PySparkException, ValueError) as problem:
                 log.warning("%s at %sh left out: %s", name, hours, problem)
+                left_out.append((name, hours, str(problem).splitlines()[0]))
                 continue
-            if part is not None:
+            if part is None:
+                left_out.append((name, hours, "too few train windows"))
+            else:
                 parts.append(part)
     out = parts[0]
     for part in parts[1:]:
