@@ -18,7 +18,7 @@ TOLERANCE = 0.05
 
 def quantile_level(target: float) -> float:
     if not 0 < target < 1:
-        raise ValueError(f"Coverage must be in (0,1), got {target}")
+        raise ValueError(f"the wanted coverage is {target}; it has to lie between 0 and 1")
     return target + (1 - target) / 2
 
 

@@ -98,7 +98,7 @@ def supervised_features(
     orders agree, and ``complete_rows=True`` takes the target in the same pass.
     """
     if horizon_steps < 1:
-        raise ValueError("horizon_steps must be >= 1")
+        raise ValueError(f"a target {horizon_steps} steps ahead is no forecast: at least 1 is needed")
 
     def target(w: WindowSpec) -> Column:
         return F.lead(POWER, horizon_steps).over(w)

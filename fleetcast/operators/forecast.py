@@ -13,12 +13,13 @@ from fleetcast.schemas import HORIZONS, KEY, POWER, THEORETICAL, TS
 
 PERSISTENCE_ID = "persistence-baseline-0.1.0"
 ROLLING_MEAN_ID = "rolling-mean-baseline-0.1.0"
+# Fixed value: the text of a warning in the output.
 SHORT_HISTORY = "Very short observation history; uncertainty band is approximate."
 
 
 def check_horizon(horizon_hours: int) -> int:
     if horizon_hours not in HORIZONS:
-        raise ValueError(f"Unsupported horizon: {horizon_hours}. Supported horizons are 1, 6, and 24 hours.")
+        raise ValueError(f"{horizon_hours} h is no known horizon; there are {sorted(HORIZONS)}")
     return horizon_hours
 
 

@@ -79,6 +79,7 @@ def _issue(field: str, check: str, message: Column, count: Column, severity: str
     )
 
 
+# The fields, checks and message texts below are values of the output.
 def _issues_per_asset(
     df: DataFrame,
     required: Sequence[str],
