@@ -45,10 +45,11 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     def hashed(s: Column) -> Column:
         return F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def signature(part: Column, i: Column) -> Column:
-        following = F.array_join(F.slice(chains, i + 1, chain), " ")
-        return hashed(F.concat(F.substring_index(part, " ", 1), F.lit(":"), F.substring_index(following, " ", chain)))
-
+    # A lambda never looks at a whole array: the content of the next parts comes from shifted copies, joined element by element.
+    following = F.col(chains)
+    for k in range(1, chain):
+        following = F.zip_with(following, F.slice(chains, k + 1, F.size(chains)), lambda a, b: F.concat_ws(" ", a, b))
+    signed = F.zip_with(parts, following, lambda p, f: hashed(F.concat(F.substring_index(p, " ", 1), F.lit(":"), F.substring_index(f, " ", chain))))
     every = F.array_join(words, " ")
     alone = F.when(every != "", F.array(hashed(F.concat(F.lit(":"), every)))).when(low != "", F.array(hashed(low)))
     none = F.array().cast("array<bigint>")
@@ -56,11 +57,11 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
         df.withColumn(words, F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
         .withColumn(marked, F.array_join(F.filter(F.transform(words, mark), lambda w: w != ""), " "))
         # what lies before the first anchor goes; each other part is an anchor and the content up to the next one
-        .withColumn(parts, F.filter(F.transform(F.split(marked, "\u0001"), F.rtrim), lambda p, i: (i > 0) & p.contains(" ")))
+        .withColumn(parts, F.filter(F.transform(F.split(marked, "\u0001"), lambda p: F.rtrim(p)), lambda p, i: (i > 0) & p.contains(" ")))
         .withColumn(chains, F.transform(parts, lambda p: F.substr(p, F.locate(" ", p) + 1)))
         .withColumn(
             out,
-            F.when(F.size(parts) > 0, F.sort_array(F.array_distinct(F.transform(parts, signature)))).otherwise(F.coalesce(alone, none)),
+            F.when(F.size(chains) > 0, F.sort_array(F.array_distinct(signed))).otherwise(F.coalesce(alone, none)),
         )
         .drop(words, marked, parts, chains)
     )
