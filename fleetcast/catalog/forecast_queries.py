@@ -548,6 +548,58 @@ def save_and_load_model(spark, sf_dir):
     return _all_hours(parts, None)
 
 
+_SEQUENCE_POINTS = f"""
+    SELECT asset_id, CAST(k AS INTEGER) AS step, CAST(hor.horizon_hours AS INTEGER) AS horizon_hours, true AS equal
+    FROM ({_LAST}) CROSS JOIN hor CROSS JOIN range(1, 145) AS r(k) WHERE k <= h AND horizon_hours IN {_FITS}
+"""
+
+
+@query("s9a_sequence_save_and_load", _SEQUENCE_POINTS, tables=BACKTEST)
+def save_and_load_sequence(spark, sf_dir):
+    """The sequence model of each horizon forecasts the same after a round trip through the registry."""
+    rows = indexed(spark, sf_dir)
+    root = new_table_path(spark, "models")
+    parts = []
+    for h in LEARNED_HOURS:
+        if fitted := _sequence(spark, sf_dir, h):
+            learned.save_sequence(spark, root, f"sequence-{h}h", fitted[0])
+            loaded = learned.load_sequence(spark, root, f"sequence-{h}h")
+            before = learned.sequence_forecast(fitted[0], rows).select(KEY, "step", F.col("p50").alias("fitted_kw"))
+            both = learned.sequence_forecast(loaded, rows).join(before, [KEY, "step"])
+            parts.append(both.select(KEY, "step", "horizon_hours", (F.abs(F.col("p50") - F.col("fitted_kw")) < 1e-9).alias("equal")))
+    return _all_hours(parts, spark.createDataFrame([], f"{KEY} string, step int, horizon_hours int, equal boolean"))
+
+
+@query(
+    "g9_trained_model",
+    f"""
+    SELECT asset_id, CAST(k AS INTEGER) AS step, {_FUTURE} AS "timestamp",
+           CASE WHEN asset_id = 'T2' THEN 'persistence-baseline-0.1.0' ELSE 'gradient-boosting-1h' END AS model_id, 1 AS horizon_hours,
+           CASE WHEN asset_id = 'T2' THEN ['{forecast.NO_MODEL_POINTS}'] ELSE CAST([] AS VARCHAR[]) END AS warnings
+    FROM ({_LAST}) CROSS JOIN range(1, 7) AS r(k)
+    """,
+)
+def choose_trained_model(spark, sf_dir):
+    """The newest model of a written registry is for the horizon: its points, and persistence for an asset it lacks."""
+    rows = indexed(spark, sf_dir)
+    root = new_table_path(spark, "models")
+    for h, day in ((6, 1), (1, 2)):
+        if fitted := _boosted(spark, sf_dir, h):
+            stamp = datetime(2019, 1, day)
+            registry.save_model(spark, root, f"trees-{h}h", fitted[0].pipeline, learned.GBT_TYPE, h, {}, trained_at=stamp)
+    newest = registry.latest_model(registry.registry(spark, root), learned.GBT_TYPE)
+    points = learned.roll_forward(_boosted(spark, sf_dir, newest["horizon_hours"])[0], rows).where(F.col(KEY) != "T2")
+    counts = rows.groupBy(KEY).agg(F.count("*").alias("n_obs"))
+    chosen = forecast.choose_forecast(forecast.persistence_forecast(rows, 1), newest["horizon_hours"], counts, 1, points)
+    return chosen.select(KEY, "step", TS, "model_id", "horizon_hours", "warnings")
+
+
+def forget_fits() -> None:
+    """Fit anew from here on, as a benchmark must."""
+    _boosted.cache_clear()
+    _sequence.cache_clear()
+
+
 # ---- registry and files --------------------------------------------------------------------------
 
 

@@ -16,6 +16,8 @@ ROLLING_MEAN_ID = "rolling-mean-baseline-0.1.0"
 # Fixed value: the text of a warning in the output.
 SHORT_HISTORY = "Very short observation history; uncertainty band is approximate."
 
+NO_MODEL_POINTS = "The trained model gave no points for this asset; using persistence."
+
 
 def check_horizon(horizon_hours: int) -> int:
     if horizon_hours not in HORIZONS:
@@ -143,7 +145,8 @@ def choose_forecast(
     horizon_hours: int,
     model_points: DataFrame | None = None,
 ) -> DataFrame:
-    """The trained model's points where its horizon matches, persistence with a warning otherwise.
+    """The trained model's points where its horizon matches, persistence with a warning otherwise, also for an
+    asset of which the model gave no points.
 
     ``trained_hours`` is the horizon of the registry's newest model, ``None`` without one;
     ``observation_counts`` has (asset, n_obs): a warning needs at least 10 observations.
@@ -156,7 +159,10 @@ def choose_forecast(
     if model_points is None or trained_hours != horizon_hours:
         return fallback
     own = model_points.withColumn("warnings", F.array().cast("array<string>")).select(*fallback.columns)
-    return own.unionByName(fallback.join(model_points.select(KEY).distinct(), KEY, "left_anti"))
+    without = fallback.join(model_points.select(KEY).distinct(), KEY, "left_anti").join(observation_counts, KEY)
+    told = F.array_append("warnings", F.lit(NO_MODEL_POINTS))
+    without = without.withColumn("warnings", F.when(F.col("n_obs") >= 10, told).otherwise(F.col("warnings"))).drop("n_obs")
+    return own.unionByName(without.select(*fallback.columns))
 
 
 def nested_forecast(points: DataFrame) -> DataFrame:

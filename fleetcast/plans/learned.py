@@ -438,6 +438,25 @@ def load_boosted(spark: SparkSession, root: str, model_id: str) -> BoostedModel:
     )
 
 
+def save_sequence(spark: SparkSession, root: str, model_id: str, model: SequenceModel, metrics: dict | None = None) -> str:
+    """S9a for the sequence model, in the same registry."""
+    config = {"seq_len": str(model.seq_len), "pred_len": str(model.pred_len)}
+    schema = {c: "double" for c in model.features}
+    path = registry.save_model(
+        spark, root, model_id, model.pipeline, SEQUENCE_TYPE, model.horizon_hours, schema, metrics, config
+    )
+    model.figures.write.mode("overwrite").parquet(f"{path}-figures")
+    return path
+
+
+def load_sequence(spark: SparkSession, root: str, model_id: str) -> SequenceModel:
+    pipeline, row = registry.load_model(spark, root, model_id)
+    figures = spark.read.parquet(f"{root.rstrip('/')}/models/{model_id}-figures")
+    known = [c for c in SEQUENCE_FEATURES if c in row["feature_schema"]]
+    config = row["config"]
+    return SequenceModel(pipeline, figures, row["horizon_hours"], int(config["seq_len"]), int(config["pred_len"]), tuple(known))
+
+
 def problem_table(spark: SparkSession, problems: Sequence[tuple[str, int, str]]) -> DataFrame:
     """The models left out of a grid: model_type, horizon_hours, reason. A row per model and horizon at most."""
     return spark.createDataFrame(list(problems), "model_type string, horizon_hours int, reason string")
