@@ -30,6 +30,8 @@ MOST_LABELLED = 20_000
 HIDDEN, ROUNDS, BATCH, RATE, DECAY, THRESHOLD = 32, 60, 256, 3e-3, 1e-4, 0.7
 #: Entries of a task's memory for words; a full one is emptied. Only speed depends on it.
 MEMORY = 300_000
+#: Longer words aren't remembered, so the memory is bounded in bytes too.
+LONGEST = 64
 
 
 class Cells(dict):
@@ -43,7 +45,8 @@ class Cells(dict):
         case = "U" if letters.isupper() and len(letters) > 1 else "T" if letters[:1].isupper() else "l" if letters else ""
         low = letters.lower()
         found = zlib.crc32(low.encode()) % WORDS * MARKS + zlib.crc32(f"{case}{rest}".encode()) % MARKS
-        self[word] = found
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
 
