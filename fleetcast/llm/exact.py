@@ -69,6 +69,7 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, hash_s
     # A third of all rows may share one hash: they are combined before the shuffle here, and the join
     # that gives each row its group's figures is one that adaptive execution splits.
     best = open_.groupBy("__hash").agg(F.max(F.struct(ID, "__row")).alias("best"), F.count("*").alias("group_size"))
+    best = written(best, "dedup-best")  # else the join would reuse the aggregate's partitioning, which can't be split
     grouped = open_.join(best, "__hash").select(
         ID, F.col(f"best.{ID}").alias("keep_id"), "group_size", (F.col("best.__row") == F.col("__row")).alias("kept"),
         F.col("__hash").alias("text_hash"),
