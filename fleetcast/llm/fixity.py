@@ -7,7 +7,7 @@ branches that differ are followed down to the records.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.session import written
@@ -19,10 +19,10 @@ PAGES = 500
 NODE = ["archive", "range"]
 
 
-def warc_records(pages: DataFrame, pages_per_archive: int = PAGES) -> DataFrame:
-    """pages (page_id, url, html) as response records: archive, offset, length, page_id, record (binary).
+def rendered(pages: DataFrame, pages_per_archive: int = PAGES) -> DataFrame:
+    """pages (page_id, url, html) as response records: archive, page_id, record (binary), length, record_sha256.
 
-    Records of an archive are ordered by page_id, url and html; a null url or html is empty, pages without id go to archive -1.
+    A null url or html is empty; pages without id go to archive -1.
     """
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     head = F.concat(
@@ -32,14 +32,26 @@ def warc_records(pages: DataFrame, pages_per_archive: int = PAGES) -> DataFrame:
     record = F.concat(head, html, F.lit("\r\n\r\n"))
     archive = F.coalesce(F.floor(F.col("page_id") / pages_per_archive), F.lit(-1)).cast("long")
     rows = pages.select(archive.alias("archive"), F.col("page_id").cast("long").alias("page_id"), record.cast("binary").alias("record"))
-    before = Window.partitionBy("archive").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.octet_length("record").cast("long")
-    return rows.withColumn("length", length).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    return rows.withColumns({"length": F.octet_length("record").cast("long"), "record_sha256": F.sha2("record", 256)})
+
+
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """The records' offsets: those of an archive lie in the order of page_id, then of their hashes.
+
+    Hashes and lengths are known before the exchange, so the records themselves move only if they are asked for.
+    """
+    before = Window.partitionBy("archive").orderBy("page_id", "record_sha256").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+
+def warc_records(pages: DataFrame, pages_per_archive: int = PAGES) -> DataFrame:
+    """archive, offset, length, page_id, record, record_sha256 of all pages."""
+    return with_offsets(rendered(pages, pages_per_archive))
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """archive, offset, hash per record. Records that claim the same offset are hashed together, in the order of their own hashes."""
-    own = records.select("archive", "offset", F.sha2("record", 256).alias("own"))
+    own = records.select("archive", "offset", F.col("record_sha256").alias("own"))
     per_offset = own.groupBy("archive", "offset").agg(F.array_sort(F.collect_list("own")).alias("all"))
     return per_offset.select("archive", "offset", F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(F.sha2(F.array_join("all", ""), 256)).alias("hash"))
 
@@ -77,7 +89,7 @@ def _differing(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
 
 
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Where two replicas (archive, offset, record) differ: archive, offset, hash_a, hash_b (null: no record there), status.
+    """Where two replicas (archive, offset, record_sha256) differ: archive, offset, hash_a, hash_b (null: no record there), status.
 
     status: changed, missing (only in the first), added (only in the second). Empty replicas differ by the other's records.
     """
@@ -100,21 +112,23 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     return found.select("archive", "offset", "hash_a", "hash_b", status.alias("status"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with faults at known places: a byte turned in every 97th page, every 389th page lost, a record cut short in every 577th."""
+def damaged_record() -> Column:
+    """A record of a replica with faults at known places: a byte turned in every 97th page, every 389th page lost (null),
+    a record cut short in every 577th."""
     at = (F.octet_length("record") / 2).cast("int")
     turned = F.concat(F.substring(F.col("record"), F.lit(1), at), F.lit(b"~"), F.substring(F.col("record"), at + 2, F.octet_length("record")))
     cut = F.substring(F.col("record"), F.lit(1), F.octet_length("record") - 7)
     page = F.col("page_id")
-    return records.filter(F.coalesce(page % 389 != 7, F.lit(True))).withColumn(
-        "record", F.when(page % 97 == 5, turned).when(page % 577 == 11, cut).otherwise(F.col("record"))
-    )
+    whole = F.when(page % 97 == 5, turned).when(page % 577 == 11, cut).otherwise(F.col("record"))
+    return F.when(F.coalesce(page % 389 != 7, F.lit(True)), whole)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """All pages as archives, audited against a replica with faults."""
-    records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return audit(records, damaged(records))
+    rows = rendered(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("replica_sha256", F.sha2(damaged_record(), 256))
+    both = written(with_offsets(rows).select("archive", "offset", "record_sha256", "replica_sha256"), "fixity-records")
+    replica = both.filter("replica_sha256 is not null").select("archive", "offset", F.col("replica_sha256").alias("record_sha256"))
+    return audit(both.select("archive", "offset", "record_sha256"), replica)
 
 
 OP7_SQL = r"""
@@ -124,7 +138,7 @@ WITH r AS (
                 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10),
                 coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
   FROM pages),
-o AS (SELECT *, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+o AS (SELECT *, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
              hex(encode(record)) AS h, strlen(record) AS n FROM r)
 SELECT archive, "offset", sha256(record) AS hash_a,
        CASE WHEN page_id % 389 = 7 THEN NULL

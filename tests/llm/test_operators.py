@@ -264,7 +264,8 @@ def test_near_links_are_those_of_all_pairs(docs, rows):
 def test_audit_finds_the_planted_faults_only(spark):
     pages = spark.range(2000).selectExpr("if(id = 0, null, id) page_id", "if(id % 50 = 0, null, concat('http://x/', id)) url", "repeat(concat('<p>', id), cast(id % 90 as int)) html")
     records = fixity.warc_records(pages)
-    found = fixity.audit(records, fixity.damaged(records))
+    turned = records.withColumn("record_sha256", F.sha2(fixity.damaged_record(), 256)).filter("record_sha256 is not null")
+    found = fixity.audit(records, turned)
     ids = dict(collected(records, F.struct("archive", "offset"), "page_id"))
     want = {(i, "missing" if i % 389 == 7 else "changed") for i in range(1, 2000) if i % 97 == 5 or i % 389 == 7 or i % 577 == 11}
     assert {(ids[(r.archive, r.offset)], r.status) for r in found.collect()} == want
