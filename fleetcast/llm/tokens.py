@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark import Broadcast, SparkContext
 
-#: Entries of a worker's memories for chunks and for words; a full one is emptied. Only speed depends on them.
-CHUNKS, WORDS = 200_000, 600_000
+#: Entries of a generation of a worker's memories for chunks and for words. Only speed depends on them.
+CHUNKS, WORDS = 50_000, 200_000
+#: Longer pieces aren't remembered, so a generation's memory is bounded in bytes too.
+LONGEST = 64
 
 
 class Tokens:
@@ -41,28 +43,46 @@ class Tokens:
         # tokenizer parts such a chunk there too.
         plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~]*)\Z")
 
+        longest = LONGEST
+
         def ids(text: str) -> bytes:
             return array.array("I", encode([text], add_special_tokens=False)[0].ids).tobytes()
 
         class Memory(dict):
+            """What was used since the last change of generation; the one before it is kept as well, so only rare pieces are lost."""
+
             def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
-                self.make, self.limit = make, limit
+                self.make, self.limit, self.old = make, limit, {}
 
             def __missing__(self, text: str) -> bytes:
+                if len(text) > longest:
+                    return self.make(text)
                 if len(self) >= self.limit:
+                    self.old = dict(self)
                     self.clear()
-                found = self[text] = self.make(text)
+                found = self.old.get(text)
+                if found is None:
+                    found = self.make(text)
+                self[text] = found
                 return found
 
-        whole, tails = Memory(ids, WORDS), Memory(ids, CHUNKS)
+        def compose(text: str) -> bytes:
+            word, tail = plain.match(text).groups()
+            return words[word.lower()] + (tails[tail] if tail else b"")
+
+        composed, tails = Memory(compose, CHUNKS), Memory(ids, CHUNKS)
 
-        def of_chunk(text: str) -> bytes:
-            if m := plain.match(text):
-                word, tail = m.groups()
-                return whole[word.lower()] + (tails[tail] if tail else b"")
-            return whole[text]
+        class Words(Memory):
+            """Words in lower case, and what has no such form; chunks composed of a word and more have a smaller memory of their own."""
+
+            def __missing__(self, text: str) -> bytes:
+                if (found := composed.get(text)) is not None:
+                    return found
+                if (m := plain.match(text)) and (m[2] or not text.islower()):
+                    return composed[text]
+                return super().__missing__(text)
 
-        self.chunks = Memory(of_chunk, CHUNKS)
+        words = self.chunks = Words(ids, WORDS)
 
     def ids(self, text: str) -> bytes:
         if self.chunks is None:
