@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,12 +60,20 @@ def with_columns_from_text(
             for part in pieces(batch, as_bytes):
                 columns = [part.column(c) for c in kept] + made(part.column(as_bytes))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
+        give_back()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != as_bytes] + [f"`{k}` {v}" for k, v in added.items()])
     return frame.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return what a task has freed to the system: Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `limit` bytes of text, or of one row: long texts don't add up in memory."""
     _, offsets = text_bytes(batch.column(text))
     at, n = 0, batch.num_rows

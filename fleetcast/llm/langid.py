@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, column, documents, held_out, pieces, text_bytes, with_columns_from_text
+from fleetcast.llm.common import ID, TEXT, column, documents, give_back, held_out, pieces, text_bytes, with_columns_from_text
 
 #: Trigrams are hashed to 2^TABLE cells.
 TABLE = 14
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, lang_col: str =
                 [pa.array([name] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(row[cells])],
                 names=["lang", "cell", "n"],
             )
+        give_back()
 
     # at most 2^TABLE rows a language reach the driver
     found = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()

@@ -15,14 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, documents, id_and_text, pieces
+from fleetcast.llm.common import ID, TEXT, documents, give_back, id_and_text, pieces
 from fleetcast.llm.tokens import shared
 from fleetcast.session import written
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of tokens put into one record batch.
-BATCH = 8 << 20
+BATCH = 2 << 20
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = ID, text_col: str = TEXT, end_id: int = END_ID) -> DataFrame:
@@ -47,6 +47,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = ID, text_col:
                     [rows.column(ID), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(ids, pa.binary())],
                     names=[ID, "part", "at", "ids"],
                 )
+        give_back()
 
     return written(frame.mapInArrow(run, f"{ID} long, part int, at long, ids binary"), "pack-tokens")
 
@@ -81,6 +82,7 @@ def cut(stream: DataFrame, length: int = LENGTH) -> DataFrame:
                         rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+        give_back()
 
     kind = f"{ID} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return stream.mapInArrow(run, kind)
