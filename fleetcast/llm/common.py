@@ -20,6 +20,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """`base`, lengthened until no column of df has that name in either case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -50,7 +58,7 @@ def with_columns_from_text(
 
     `work` is called once a task and returns the function for its batches; that gets the texts as binary.
     """
-    as_bytes = "__text_bytes"
+    as_bytes = free_name(df, "text_bytes")
     frame = df.withColumn(as_bytes, column(text_col).cast("binary")).drop(*drop)
     kept = [c for c in frame.columns if c != as_bytes]
 
