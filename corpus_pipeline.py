@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetcast.llm import exact, langid, mixing, packing, similar
+from fleetcast.llm import exact, langid, mixing, packing, simhash
 from fleetcast.llm.common import documents
 from fleetcast.session import written
 
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts linked by a Jaccard similarity of 0.8 of their 5-word shingles: that of the smallest doc_id."""
-    return similar.without_similar(docs)
+    """One document of each class of fingerprints linked within two bits, 3-word shingles: that of the smallest doc_id."""
+    return simhash.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
