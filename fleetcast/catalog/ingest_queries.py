@@ -8,7 +8,7 @@ from fleetcast.catalog.base import query
 from fleetcast.catalog.testview import dirty_scada, scada, table
 from fleetcast.functions.columns import null_if_nan, parsed_timestamp, plus_minutes, wrapped_direction
 from fleetcast.operators import cleaning, quality
-from fleetcast.schemas import KEY, MEASURES, POWER, SEQ, TS, WIND
+from fleetcast.schemas import KEY, MEASURES, POWER, SEQ, SOURCE_FILE, TS, WIND
 from fleetcast.session import new_table_path
 from fleetcast.sources import scada as source
 
@@ -185,20 +185,40 @@ def dedup_keep_last(spark, sf_dir):
     return cleaning.drop_repeats(dirty_scada(spark, sf_dir), "last")
 
 
-_ARRIVAL = """
+def _arrival(order: str) -> str:
+    return f"""
     SELECT asset_id, CAST(sum(CASE WHEN "timestamp" = previous THEN 1 ELSE 0 END) AS BIGINT) AS repeats_in_arrival,
            CAST(sum(CASE WHEN "timestamp" < previous THEN 1 ELSE 0 END) AS BIGINT) AS steps_back
-    FROM (SELECT *, lag("timestamp") OVER (PARTITION BY asset_id ORDER BY ingest_seq) AS previous FROM dirty)
+    FROM (SELECT *, lag("timestamp") OVER (PARTITION BY asset_id ORDER BY {order}) AS previous FROM dirty)
     GROUP BY asset_id
 """
 
 
+_ARRIVAL = _arrival("ingest_seq")
+# Files of 1,500 lines, numbered from 0 in each; the second of each two is named, and so arrives, before the first.
+_BY_FILE = _arrival("CASE WHEN (ingest_seq // 1500) % 2 = 0 THEN ingest_seq // 1500 + 1 ELSE ingest_seq // 1500 - 1 END, ingest_seq % 1500")
+
+
+def filed_scada(spark, sf_dir):
+    """The dirty rows in several files an asset, whose lines are numbered from 0."""
+    file = F.floor(F.col(SEQ) / 1500).cast("long")
+    name = F.when(file % 2 == 0, file + 1).otherwise(file - 1)
+    path = F.concat(F.lit("part-"), F.lpad(name.cast("string"), 12, "0"), F.lit(".csv"))
+    return dirty_scada(spark, sf_dir).withColumns({SOURCE_FILE: path, SEQ: F.col(SEQ) % 1500})
+
+
 @query("w8_arrival_order", _ARRIVAL)
 def arrival_order(spark, sf_dir):
     return quality.arrival_order(dirty_scada(spark, sf_dir))
 
 
-_REPORT = f"""
+@query("w8_arrival_over_files", _BY_FILE)
+def arrival_over_files(spark, sf_dir):
+    return quality.arrival_order(filed_scada(spark, sf_dir))
+
+
+def _report_sql(arrival: str) -> str:
+    return f"""
     SELECT d.asset_id, count(*) AS total_records, count(*) - count(DISTINCT "timestamp") AS duplicate_timestamps,
            min("timestamp") AS start_time, max("timestamp") AS end_time,
            CAST(sum(CASE WHEN active_power_kw IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_active_power_kw,
@@ -208,13 +228,14 @@ _REPORT = f"""
              AS wind_direction_out_of_range,
            CAST(sum(CASE WHEN active_power_kw < 0 THEN 1 ELSE 0 END) AS BIGINT) AS active_power_negative,
            max(repeats_in_arrival + steps_back) = 0 AS monotonic
-    FROM dirty d JOIN ({_ARRIVAL}) a ON a.asset_id = d.asset_id GROUP BY d.asset_id
+    FROM dirty d JOIN ({arrival}) a ON a.asset_id = d.asset_id GROUP BY d.asset_id
 """
 
 
-@query("a1_quality_report", _REPORT)
-def quality_report(spark, sf_dir):
-    report = quality.quality_report(dirty_scada(spark, sf_dir))
+_REPORT = _report_sql(_ARRIVAL)
+
+
+def _shown(report):
     return report.select(
         *[c for c in report.columns if c not in ("missing_counts", "range_violations")],
         *[F.col("missing_counts")[c].alias(f"missing_{c}") for c in (POWER, WIND)],
@@ -225,6 +246,16 @@ def quality_report(spark, sf_dir):
     )
 
 
+@query("a1_quality_report", _REPORT)
+def quality_report(spark, sf_dir):
+    return _shown(quality.quality_report(dirty_scada(spark, sf_dir)))
+
+
+@query("a1_report_over_files", _report_sql(_BY_FILE))
+def report_over_files(spark, sf_dir):
+    return _shown(quality.quality_report(filed_scada(spark, sf_dir)))
+
+
 _ISSUES = f"""
     SELECT asset_id, field, "check", message, "count", severity FROM (
       SELECT r.asset_id, 'timestamp' AS field, 'monotonic' AS "check",
@@ -249,6 +280,11 @@ def validation_issues(spark, sf_dir):
     return quality.validation_issues(dirty_scada(spark, sf_dir))
 
 
+@query("a2_issues_over_files", f", rep AS ({_report_sql(_BY_FILE)}), arr AS ({_BY_FILE}) {_ISSUES}")
+def issues_over_files(spark, sf_dir):
+    return quality.validation_issues(filed_scada(spark, sf_dir))
+
+
 @query(
     "a2_validation_summary",
     f"""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import query
 from fleetcast.catalog.forecast_queries import _POWER_SERIES, _ramps_sql
-from fleetcast.catalog.testview import dirty_rows, scada_rows, table
-from fleetcast.schemas import KEY, SEQ, TS
+from fleetcast.catalog.testview import dirty_rows, scada, scada_rows, table
+from fleetcast.schemas import KEY, POWER, SEQ, TS
 from fleetcast.session import new_table_path
 from fleetcast.streaming import scada as streams
+from fleetcast.streaming.landing import newest, upserting
+from fleetcast.streaming.ramps import ramp_runs
 
 
 def _events(spark, sf_dir):
@@ -33,20 +35,37 @@ def _finished(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _counters(stream: DataFrame, name: str) -> DataFrame:
-    """The last state of a few running counters (a row per asset), kept by the memory sink."""
-    path = new_table_path(stream.sparkSession, name)
-    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+def _landed(rows: DataFrame, name: str, spans: int = 6, late_minutes: int = 90):
+    """The rows as a stream of many small files, in an order of arrival that lags up to ``late_minutes`` behind their time.
+
+    Files of a later span are written after those of the one before; in a span rows and files are shuffled.
+    """
+    spark = rows.sparkSession
+    path = new_table_path(spark, name)
+    late = F.make_dt_interval(mins=F.pmod(F.xxhash64(SEQ), F.lit(late_minutes)).cast("int"))
+    arrival = F.unix_micros((F.col(TS) + late).cast("timestamp"))
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    width = ((last or 0) - (first or 0)) // spans + 1
+    staged = rows.withColumn("_span", F.floor((arrival - F.lit(first or 0)) / width))
+    for k in range(spans):
+        staged.where(F.col("_span") == k).drop("_span").repartition(5, F.xxhash64(SEQ, F.lit(7))).write.mode("append").parquet(path)
+    _closed(rows).where(F.col(KEY) == CLOSING).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def _upserted(stream: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The newest version of a table of running figures, after all available input."""
+    spark = stream.sparkSession
+    path = new_table_path(spark, name)
     (
-        stream.writeStream.outputMode("complete")
+        stream.writeStream.outputMode("update")
         .option("checkpointLocation", f"{path}-offsets")
         .trigger(availableNow=True)
-        .format("memory")
-        .queryName(table_name)
+        .foreachBatch(upserting(path, keys))
         .start()
         .awaitTermination()
     )
-    return stream.sparkSession.table(table_name)
+    return newest(spark, path, stream.schema)
 
 
 CLOSING = "closing"
@@ -98,8 +117,10 @@ def stream_hourly(spark, sf_dir):
     "power_before_kw power_after_kw power_change_kw",
 )
 def stream_ramps(spark, sf_dir):
-    """All runs: those still open at the last row are closed when the watermark has passed them."""
-    runs = streams.ramp_runs(_closed(scada_rows(_events(spark, sf_dir))))
+    """All runs, from many files whose rows come up to 90 minutes late, in micro-batches of a few files. Those still open at the last
+    row are closed when the watermark has passed them."""
+    landed = _landed(scada(spark, sf_dir).select(KEY, TS, POWER, SEQ), "landed")
+    runs = ramp_runs(landed, lateness="2 hours", bucket="1 day")
     return _wall_time(_finished(runs, "ramps"), "start_time", "end_time")
 
 
@@ -115,4 +136,4 @@ def stream_ramps(spark, sf_dir):
     """,
 )
 def stream_quality(spark, sf_dir):
-    return _counters(streams.quality_counts(dirty_rows(scada_rows(_events(spark, sf_dir)))), "quality")
+    return _upserted(streams.quality_counts(dirty_rows(scada_rows(_events(spark, sf_dir)))), "quality", KEY)

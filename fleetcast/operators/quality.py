@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetcast.functions.columns import minutes_between
 from fleetcast.operators.cleaning import drop_repeats
 from fleetcast.operators.timeline import CHUNK_ROWS, along_timeline, with_row_index
-from fleetcast.schemas import DIRECTION, KEY, MEASURES, POWER, REQUIRED, SEQ, TS, WIND
+from fleetcast.schemas import DIRECTION, KEY, MEASURES, POWER, REQUIRED, SEQ, SOURCE_FILE, TS, WIND
 
 ARRIVAL_SLOT = 65_536
 
@@ -23,9 +23,15 @@ DEFAULT_RANGES: dict[str, tuple[float | None, float | None]] = {
 
 
 def arrival_order(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Per asset, how often a timestamp repeats or steps back in order of arrival."""
+    """Per asset, how often a timestamp repeats or steps back in order of arrival.
+
+    Rows that come from files arrive file by file, in the order of the paths; line numbers start anew in each.
+    """
+    files = [SOURCE_FILE] if SOURCE_FILE in df.columns else []
     rows = with_row_index(
-        df.select(KEY, TS, SEQ), order=F.col(SEQ), slot=F.floor(F.col(SEQ) / ARRIVAL_SLOT).cast("long")
+        df.select(KEY, TS, *files, SEQ),
+        order=F.struct(*files, SEQ),
+        slot=F.struct(*files, F.floor(F.col(SEQ) / ARRIVAL_SLOT).cast("long").alias("block")),
     )
     rows = along_timeline(rows, {"previous_ts": lambda w: F.lag(TS).over(w)}, back=1, chunk_rows=chunk_rows)
     return rows.groupBy(KEY).agg(

@@ -1,4 +1,4 @@
-"""Streams of SCADA rows: deduplication, tumbling aggregates, live ramps and live quality counts.
+"""Streams of SCADA rows: deduplication, tumbling aggregates and live quality counts.
 
 The sources need a ``timestamp`` column of type ``timestamp`` (event time). Late rows beyond the
 watermark are dropped.
@@ -6,15 +6,10 @@ watermark are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetcast.operators.cleaning import contract_flags
-from fleetcast.operators.risk import CAPACITY_KW, RAMP_KW, RAMP_PCT, risk_level_of_change
 from fleetcast.schemas import KEY, POWER, TS, WIND
 
 LATENESS = "1 hour"
@@ -41,84 +36,8 @@ def tumbling(stream: DataFrame, width: str = "1 hour", lateness: str = LATENESS)
 
 
 def quality_counts(stream: DataFrame) -> DataFrame:
-    """Rows and broken bounds per asset so far; use update mode."""
+    """Rows and broken bounds per asset so far; for update mode and the sink ``landing.upserting``."""
     flags = contract_flags()
     return stream.groupBy(KEY).agg(
         F.count("*").alias("rows"), *[F.count_if(~c).alias(name.replace("valid", "invalid")) for name, c in flags.items()]
     )
-
-
-_EVENT = (
-    f"{KEY} string, start_time timestamp, end_time timestamp, power_before_kw double, power_after_kw double, steps long"
-)
-_STATE = (
-    "last_ts timestamp, last_power double, start_ts timestamp, start_power double, steps long, "
-    "waiting_us array<long>, waiting_power array<double>"
-)
-
-
-def ramp_runs(
-    stream: DataFrame,
-    ramp_kw: float = RAMP_KW,
-    ramp_pct: float = RAMP_PCT,
-    lateness: str = LATENESS,
-    silence: str = LATENESS,
-) -> DataFrame:
-    """R2 on a stream. A run is given out once a step that is no ramp ends it, or its asset has been silent.
-
-    Rows wait in the state until none that is earlier can come, so rows late within the watermark take their
-    place in the order of time; an asset has no more rows waiting than fit into that span. A run still open when the watermark is
-    ``silence`` past its last row is closed there. Of rows of one time the first by power counts.
-    """
-    late, silent = pd.Timedelta(lateness), pd.Timedelta(silence)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ts, last, start_ts, start, steps, times, powers = state.get if state.exists else (None, None, None, None, 0, [], [])
-        parts = [pd.DataFrame({TS: pd.to_datetime(list(times), unit="us"), POWER: list(powers)})]
-        parts += [rows[[TS, POWER]] for rows in batches]
-        waiting = pd.concat([p for p in parts if len(p)] or parts[:1]).sort_values([TS, POWER])
-        passed = watermark = pd.Timestamp(max(state.getCurrentWatermarkMs(), 0), unit="ms")
-        if len(waiting):
-            # the next watermark will be at least this high, so nothing earlier is let through any more
-            passed = max(watermark, waiting[TS].iloc[-1] - late)
-        ready = waiting[waiting[TS] <= passed]
-        waiting = waiting[waiting[TS] > passed]
-        ended = []
-        for ts, power in zip(ready[TS], ready[POWER], strict=True):
-            if last_ts is not None and ts <= last_ts:
-                continue
-            if last_ts is not None:
-                change = power - last
-                pct = change / last * 100 if last > 0 else 0.0
-                if abs(change) >= ramp_kw or abs(pct) >= ramp_pct:
-                    if steps == 0:
-                        start_ts, start = last_ts, last
-                    steps += 1
-                elif steps:
-                    ended.append((key[0], start_ts, last_ts, start, last, steps))
-                    start_ts, start, steps = None, None, 0
-            last_ts, last = ts, power
-        if steps and not len(waiting) and watermark > pd.Timestamp(last_ts) + silent:
-            ended.append((key[0], start_ts, last_ts, start, last, steps))
-            start_ts, start, steps = None, None, 0
-        us = [int(t.value // 1000) for t in waiting[TS].astype("datetime64[ns]")]
-        state.update((last_ts, last, start_ts, start, steps, us, [float(p) for p in waiting[POWER]]))
-        due = waiting[TS].iloc[0] if len(waiting) else pd.Timestamp(last_ts) + silent if steps else None
-        if due is not None:
-            state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(ended, columns=[KEY, "start_time", "end_time", "power_before_kw", "power_after_kw", "steps"])
-
-    runs = (
-        event_time(stream)
-        .select(KEY, TS, POWER)
-        .withWatermark(TS, lateness)
-        .groupBy(KEY)
-        .applyInPandasWithState(step, _EVENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-    change = F.col("power_after_kw") - F.col("power_before_kw")
-    return runs.select(
-        "*",
-        F.abs(change).alias("power_change_kw"),
-        F.when(change > 0, F.lit("up")).otherwise(F.lit("down")).alias("direction"),
-        risk_level_of_change(F.abs(change), CAPACITY_KW).alias("risk_level"),
-    )
