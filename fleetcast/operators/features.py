@@ -11,7 +11,7 @@ from fleetcast.functions.columns import calendar_columns, direction_columns, phy
 from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach, with_row_index
 from fleetcast.schemas import KEY, POWER, TS, WIND
 
-# Lag and window sets.
+# Lag and window sets, power in kW above which a turbine counts as active.
 LAGS = (1, 3, 6, 12, 24)
 WINDOWS = (3, 6, 12)
 TRAINING_LAGS = (1, 3, 6, 12, 24, 36, 48)
@@ -22,6 +22,7 @@ FALLBACK_SETS = (
     ((1, 3, 6), (3, 6)),
     ((1,), (2,)),
 )
+ACTIVE_KW = 100.0
 TARGET = "target_active_power_kw"
 
 
@@ -110,7 +111,30 @@ def supervised_features(
     return along_timeline(survivors, {TARGET: target}, 0, horizon_steps, chunk_rows).where(F.col(TARGET).isNotNull())
 
 
-ACTIVE_KW = 100.0
+def supervised_for_horizons(
+    indexed: DataFrame,
+    steps: Sequence[int],
+    lags: Sequence[int] = LAGS,
+    windows: Sequence[int] = WINDOWS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """F3 for several horizons at once: the features, which don't depend on the horizon, and a target column for each.
+
+    Rows are numbered anew (complete ones only); the last rows of an asset lack the targets that lie beyond its end.
+    """
+    survivors = with_row_index(tabular_features(indexed, lags, windows, chunk_rows).drop(ROW, TOTAL))
+    columns = {target_of(n): lambda w, n=n: F.lead(POWER, n).over(w) for n in steps}
+    return along_timeline(survivors, columns, 0, max(steps), chunk_rows)
+
+
+def target_of(steps: int) -> str:
+    return f"{TARGET}_{steps}"
+
+
+def supervised_rows(frame: DataFrame, steps: int) -> DataFrame:
+    """The rows of one horizon of ``supervised_for_horizons``, as ``supervised_features`` gives them."""
+    others = [c for c in frame.columns if c.startswith(f"{TARGET}_") and c != target_of(steps)]
+    return frame.drop(*others).withColumnRenamed(target_of(steps), TARGET).where(F.col(TARGET).isNotNull())
 
 
 def active_rows(rows: DataFrame, least: Mapping[str, int] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Models fitted with MLlib on the pooled fleet: boosted trees (B4, G6, G7) and sequences.
+"""Models fitted on the pooled fleet: MLlib's boosted trees (B4, G6, G7) and a ridge on sequences.
 
 One model serves all assets of a horizon; bias and interval are taken per asset from its val rows.
 """
@@ -6,14 +6,13 @@ One model serves all assets of a horizon; bias and interval are taken per asset
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +26,19 @@ from fleetcast.operators.features import (
     active_rows,
     feature_columns,
     supervised_features,
+    supervised_for_horizons,
+    supervised_rows,
     tabular_features,
 )
+from fleetcast.operators.lagged import ridge, train_windows, window_moments, window_scores
 from fleetcast.operators.metrics import MODEL_KEYS, mean_residual, residual_p90
 from fleetcast.operators.sequences import (
     PRED_LEN,
     SEQ_LEN,
     SEQUENCE_FEATURES,
     latest_sequence,
-    sequence_samples,
-)
-from fleetcast.operators.splits import (
-    DEFAULT_STEP_MINUTES,
-    forecast_time_split,
-    named_split,
-    row_bounds,
-    split_times,
 )
+from fleetcast.operators.splits import DEFAULT_STEP_MINUTES, forecast_time_split, split_times
 from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, attach, last_rows
 from fleetcast.plans.backtest import BASELINES, baseline_outputs, horizon_steps, uniform_outputs, with_model_id
 from fleetcast.schemas import KEY, MEASURES, POWER, TS, WIND
@@ -72,13 +67,59 @@ class BoostedModel:
 
 
 def _delta_frame(
-    indexed: DataFrame, steps: int, lags, windows, step_minutes: float, complete_rows: bool, chunk_rows: int
+    indexed: DataFrame, steps: int, lags, windows, step_minutes: float, complete_rows: bool, chunk_rows: int, known: DataFrame | None
 ) -> DataFrame:
-    frame = supervised_features(indexed, steps, lags, windows, complete_rows, chunk_rows)
+    if known is None:
+        frame = supervised_features(indexed, steps, lags, windows, complete_rows, chunk_rows)
+    else:
+        frame = supervised_rows(known, steps)
     frame = forecast_time_split(frame, split_times(indexed), steps, step_minutes)
     return frame.withColumn("delta_kw", F.col(TARGET) - F.col(POWER))
 
 
+def training_features(
+    indexed: DataFrame,
+    horizons: Sequence[int],
+    lags: Sequence[int] = TRAINING_LAGS,
+    windows: Sequence[int] = TRAINING_WINDOWS,
+    step_minutes: float = DEFAULT_STEP_MINUTES,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """The features of all rows with a target per horizon: a written table that serves the fits of all horizons."""
+    steps = [horizon_steps(h, step_minutes) for h in horizons]
+    return written(supervised_for_horizons(indexed, steps, lags, windows, chunk_rows), "training-features")
+
+
+def boosted_pipeline(features: Sequence[str], max_iter: int, max_depth: int, seed: int) -> Pipeline:
+    """Trees on the absolute error of ``delta_kw``; boosting stops on the rows marked ``is_val``."""
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(features), outputCol="features"),
+            GBTRegressor(
+                labelCol="delta_kw",
+                lossType="absolute",
+                weightCol="weight",
+                validationIndicatorCol="is_val",
+                maxIter=max_iter,
+                maxDepth=max_depth,
+                stepSize=0.05,
+                subsamplingRate=0.8,
+                minInstancesPerNode=25,
+                seed=seed,
+            ),
+        ]
+    )
+
+
+def learning_rows(rows: DataFrame, least: Mapping[str, int] | None = None) -> DataFrame:
+    """Active train and val rows (P8) with their weights (P9); val rows are marked ``is_val``."""
+    return (
+        active_rows(rows.where(F.col("split") != "test"), least)
+        .withColumn("is_val", F.col("split") == "val")
+        .withColumn("weight", F.when(F.col("is_val"), F.lit(1.0)).otherwise(sample_weight(F.col(POWER))))
+    )
+
+
 def fit_boosted(
     indexed: DataFrame,
     horizon_hours: int,
@@ -90,46 +131,27 @@ def fit_boosted(
     seed: int = 42,
     complete_rows: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    known: DataFrame | None = None,
 ) -> tuple[BoostedModel, DataFrame]:
     """Train on the change of power over the horizon; returns the model and its test outputs.
 
-    Raises ``ValueError`` if no asset has a train row.
+    ``known`` may be the ``training_features`` of the same lags and windows. Raises ``ValueError`` if no asset has a train row.
 
     Train and val keep the active rows (P8) and weights (P9); boosting stops on the val error. The
     test rows are all rows of the test part, clipped at 0.
     """
     steps = horizon_steps(horizon_hours, step_minutes)
-    frame = written(
-        _delta_frame(indexed, steps, lags, windows, step_minutes, complete_rows, chunk_rows), "training-frame"
-    )
+    frame = _delta_frame(indexed, steps, lags, windows, step_minutes, complete_rows, chunk_rows, known)
+    if known is None:
+        frame = written(frame, "training-frame")
     features = feature_columns(frame)
-    learn = (
-        active_rows(frame.where(F.col("split") != "test"))
-        .withColumn("is_val", F.col("split") == "val")
-        .withColumn("weight", F.when(F.col("is_val"), F.lit(1.0)).otherwise(sample_weight(F.col(POWER))))
-    )
+    learn = learning_rows(frame)
     if learn.where(~F.col("is_val")).isEmpty():
         raise ValueError(f"no rows to train on: the look-back and {steps} steps ahead do not fit into the train part")
-    pipeline = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=features, outputCol="features"),
-            GBTRegressor(
-                labelCol="delta_kw",
-                lossType="absolute",
-                weightCol="weight",
-                validationIndicatorCol="is_val",
-                maxIter=max_iter,
-                maxDepth=max_depth,
-                stepSize=0.05,
-                subsamplingRate=0.8,
-                minInstancesPerNode=25,
-                seed=seed,
-            ),
-        ]
-    ).fit(learn)
+    pipeline = boosted_pipeline(features, max_iter, max_depth, seed).fit(learn)
     val = _identified(pipeline.transform(learn.where("is_val")), GBT_TYPE, horizon_hours)
     raw = F.col(POWER) + F.col("prediction")
-    val = val.select(*MODEL_KEYS, TS, F.col(TARGET).alias("actual_kw"), raw.alias("predicted_kw"))
+    val = written(val.select(*MODEL_KEYS, TS, F.col(TARGET).alias("actual_kw"), raw.alias("predicted_kw")), "boosted-val")
     bias = mean_residual(val, [KEY])
     corrected = attach(val, bias).withColumn("predicted_kw", F.col("predicted_kw") + F.col("bias_kw"))
     band = residual_p90(corrected, [KEY], floor_kw=FLOOR_KW)
@@ -284,15 +306,12 @@ def roll_forward(model: BoostedModel, observations: DataFrame, horizon_hours: in
     )
 
 
-def _flat_vector(c: str = "input_sequence") -> Column:
-    return array_to_vector(F.flatten(c))
-
-
 @dataclass(frozen=True)
 class SequenceModel:
-    """A fitted linear model over flattened, standardised windows, with per-asset ``residual_p90``."""
+    """A linear model over flattened windows (row by row), with per-asset ``residual_p90``."""
 
-    pipeline: PipelineModel
+    weights: tuple[float, ...]
+    intercept: float
     figures: DataFrame
     horizon_hours: int
     seq_len: int = SEQ_LEN
@@ -300,23 +319,6 @@ class SequenceModel:
     features: Sequence[str] = SEQUENCE_FEATURES
 
 
-def sequence_windows(
-    indexed: DataFrame, steps: int, seq_len: int = SEQ_LEN, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """Windows with the power ``steps`` rows after their end, split by the forecast row."""
-    samples = sequence_samples(indexed, seq_len=seq_len, pred_len=steps, chunk_rows=chunk_rows)
-    train_end, val_end = row_bounds(F.col("n_rows"))
-    forecast_row = F.col("sample_index") + (seq_len + steps - 1)
-    return samples.select(
-        KEY,
-        plus_minutes(F.col(TS), F.lit(DEFAULT_STEP_MINUTES * (steps - 1))).alias(TS),
-        F.element_at("target", steps).alias("actual_kw"),
-        F.col("last_target").alias("baseline_kw"),
-        _flat_vector().alias("window"),
-        named_split(forecast_row, train_end, val_end).alias("split"),
-    )
-
-
 def fit_sequence(
     indexed: DataFrame,
     horizon_hours: int,
@@ -325,43 +327,27 @@ def fit_sequence(
     min_train: int = 200,
     step_minutes: float = DEFAULT_STEP_MINUTES,
     chunk_rows: int = CHUNK_ROWS,
+    features: Sequence[str] = SEQUENCE_FEATURES,
 ) -> tuple[SequenceModel, DataFrame] | None:
     """Ridge regression on standardised windows; ``None`` with fewer than ``min_train`` train windows.
 
-    Returns the model and val and test predictions with ``split``. The regression standardises the
-    features itself, in the same pass that adds up their products: its memory depends on the window
-    length, not on the rows.
+    Returns the model and val and test predictions with ``split`` (T7: by the forecast row). No window is built: the
+    normal equations come from sums of lagged products, and scoring is a correlation along the rows.
     """
     steps = horizon_steps(horizon_hours, step_minutes)
-    train_end, _ = row_bounds(F.col(TOTAL))
-    per_asset = F.greatest(train_end - (seq_len + steps - 1), F.lit(0))
     totals = indexed.groupBy(KEY).agg(F.max(TOTAL).alias(TOTAL))
-    if (totals.agg(F.sum(per_asset).alias("n")).first()["n"] or 0) < min_train:
+    if (totals.agg(F.sum(train_windows(seq_len, steps)).alias("n")).first()["n"] or 0) < min_train:
         return None
-    windows = sequence_windows(indexed, steps, seq_len, chunk_rows)
-    train = windows.where(F.col("split") == "train")
-    pipeline = Pipeline(
-        stages=[
-            LinearRegression(
-                featuresCol="window",
-                labelCol="actual_kw",
-                regParam=reg_param,
-                elasticNetParam=0.0,
-                standardization=True,
-                solver="normal",
-            ),
-        ]
-    ).fit(train)
-    scored = _identified(
-        pipeline.transform(windows.where(F.col("split") != "train")), SEQUENCE_TYPE, horizon_hours
-    ).select(
+    weights, intercept = ridge(window_moments(indexed, features, seq_len, steps, chunk_rows=chunk_rows), reg_param)
+    found = window_scores(indexed, features, weights, intercept, seq_len, steps, chunk_rows=chunk_rows)
+    scored = _identified(found, SEQUENCE_TYPE, horizon_hours).select(
         KEY,
-        TS,
+        plus_minutes(F.col(TS), F.lit(DEFAULT_STEP_MINUTES * (steps - 1))).alias(TS),
         "split",
         "actual_kw",
         "baseline_kw",
-        F.col("prediction").alias("raw_kw"),
-        F.greatest(F.lit(0.0), F.col("prediction")).alias("predicted_kw"),
+        "raw_kw",
+        F.greatest(F.lit(0.0), F.col("raw_kw")).alias("predicted_kw"),
         "model_id",
         "model_type",
         "horizon_hours",
@@ -375,7 +361,7 @@ def fit_sequence(
         .join(band, KEY, "left")
         .select(KEY, F.coalesce("residual_p90", F.lit(200.0)).alias("residual_p90"))
     )
-    return SequenceModel(pipeline, figures, horizon_hours, seq_len, steps), scored
+    return SequenceModel(tuple(weights.tolist()), intercept, figures, horizon_hours, seq_len, steps, tuple(features)), scored
 
 
 def sequence_outputs(model: SequenceModel, scored: DataFrame) -> DataFrame:
@@ -396,7 +382,10 @@ def calibrate_sequence(scored: DataFrame, target: float = conformal.COVERAGE) ->
 def sequence_forecast(model: SequenceModel, observations: DataFrame) -> DataFrame:
     """The value from the last window of each asset, repeated for every step of the horizon."""
     latest = latest_sequence(observations, model.features, model.seq_len)
-    scored = model.pipeline.transform(latest.withColumn("window", _flat_vector())).join(model.figures, KEY)
+    weights = F.array(*map(F.lit, model.weights))
+    terms = F.zip_with(F.flatten("input_sequence"), weights, lambda x, w: x * w)
+    value = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) + F.lit(model.intercept)
+    scored = latest.withColumn("prediction", value).join(model.figures, KEY)
     gap = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("before_last_ts").cast("timestamp")))
     steps = scored.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(model.pred_len))))
     return steps.select(
@@ -439,22 +428,23 @@ def load_boosted(spark: SparkSession, root: str, model_id: str) -> BoostedModel:
 
 
 def save_sequence(spark: SparkSession, root: str, model_id: str, model: SequenceModel, metrics: dict | None = None) -> str:
-    """S9a for the sequence model, in the same registry."""
-    config = {"seq_len": str(model.seq_len), "pred_len": str(model.pred_len)}
+    """S9a for the sequence model, in the same registry: its weights are a table."""
+    config = {"seq_len": str(model.seq_len), "pred_len": str(model.pred_len), "features": ",".join(model.features)}
     schema = {c: "double" for c in model.features}
-    path = registry.save_model(
-        spark, root, model_id, model.pipeline, SEQUENCE_TYPE, model.horizon_hours, schema, metrics, config
-    )
+    weights = spark.createDataFrame([(model.intercept, list(model.weights))], "intercept double, weights array<double>").coalesce(1)
+    path = registry.save_model(spark, root, model_id, weights, SEQUENCE_TYPE, model.horizon_hours, schema, metrics, config)
     model.figures.write.mode("overwrite").parquet(f"{path}-figures")
     return path
 
 
 def load_sequence(spark: SparkSession, root: str, model_id: str) -> SequenceModel:
-    pipeline, row = registry.load_model(spark, root, model_id)
-    figures = spark.read.parquet(f"{root.rstrip('/')}/models/{model_id}-figures")
-    known = [c for c in SEQUENCE_FEATURES if c in row["feature_schema"]]
-    config = row["config"]
-    return SequenceModel(pipeline, figures, row["horizon_hours"], int(config["seq_len"]), int(config["pred_len"]), tuple(known))
+    row = registry.metadata(spark, root, model_id)
+    path = f"{root.rstrip('/')}/models/{model_id}"
+    held, config = spark.read.parquet(path).first(), row["config"]
+    return SequenceModel(
+        tuple(held["weights"]), held["intercept"], spark.read.parquet(f"{path}-figures"), row["horizon_hours"], int(config["seq_len"]),
+        int(config["pred_len"]), tuple(config["features"].split(",")),
+    )
 
 
 def problem_table(spark: SparkSession, problems: Sequence[tuple[str, int, str]]) -> DataFrame:

@@ -23,7 +23,7 @@ def save_model(
     spark: SparkSession,
     root: str,
     model_id: str,
-    model: PipelineModel,
+    model: PipelineModel | DataFrame,
     model_type: str,
     horizon_hours: int,
     feature_schema: dict[str, str],
@@ -32,10 +32,13 @@ def save_model(
     target: str = "active_power_kw",
     trained_at: datetime | None = None,
 ) -> str:
-    """The model under its id, and one row appended to the registry, stamped with UTC wall time."""
+    """The model, a pipeline or a table of weights, under its id, and one row appended to the registry, stamped with UTC wall time."""
     models, registry = _folders(root)
     path = f"{models}/{model_id}"
-    model.write().overwrite().save(path)
+    if isinstance(model, DataFrame):
+        model.write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
     scores = metrics or {}
     row = (
         model_id,
@@ -81,9 +84,15 @@ def latest_model(rows: DataFrame, model_type: str | None = None) -> Row | None:
     return chosen.orderBy(F.col("training_timestamp").desc(), "model_id").first()
 
 
+def metadata(spark: SparkSession, root: str, model_id: str) -> Row:
+    """The newest row of one model."""
+    found = registry(spark, root).where(F.col("model_id") == model_id).first()
+    if found is None:
+        raise FileNotFoundError(f"Model {model_id} not found")
+    return found
+
+
 def load_model(spark: SparkSession, root: str, model_id: str) -> tuple[PipelineModel, Row]:
     """S9a."""
-    metadata = registry(spark, root).where(F.col("model_id") == model_id).first()
-    if metadata is None:
-        raise FileNotFoundError(f"Model {model_id} not found")
-    return PipelineModel.load(f"{_folders(root)[0]}/{model_id}"), metadata
+    known = metadata(spark, root, model_id)
+    return PipelineModel.load(f"{_folders(root)[0]}/{model_id}"), known
