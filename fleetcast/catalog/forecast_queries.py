@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -378,18 +377,40 @@ def _sound(low: str = "p10", mid: str = "p50", high: str = "p90"):
     return (finite[0] & finite[1] & finite[2] & (values[0] <= values[1]) & (values[1] <= values[2])).alias("sound")
 
 
-@lru_cache(maxsize=8)
+_FITTED: dict[tuple, object] = {}
+
+
+def kept_fit(spark, sf_dir, name, make):
+    """What ``make()`` gives, kept for later queries of the session as long as the files of the events table don't change."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/events.parquet")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(top)))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _features(spark, sf_dir):
+    """One table of features serves the trees of all horizons."""
+    return kept_fit(spark, sf_dir, "features", lambda: learned.training_features(indexed(spark, sf_dir), LEARNED_HOURS))
+
+
 def _boosted(spark, sf_dir, hours):
-    """One fit serves all queries of a session; ``None`` where no asset has a row to train on."""
-    try:
-        return learned.fit_boosted(indexed(spark, sf_dir), hours)
-    except ValueError:
-        return None
+    """``None`` where no asset has a row to train on."""
+
+    def fit():
+        try:
+            return learned.fit_boosted(indexed(spark, sf_dir), hours, known=_features(spark, sf_dir))
+        except ValueError:
+            return None
+
+    return kept_fit(spark, sf_dir, ("boosted", hours), fit)
 
 
-@lru_cache(maxsize=8)
 def _sequence(spark, sf_dir, hours):
-    return learned.fit_sequence(indexed(spark, sf_dir), hours)
+    return kept_fit(spark, sf_dir, ("sequence", hours), lambda: learned.fit_sequence(indexed(spark, sf_dir), hours))
 
 
 def _all_hours(parts, schema_from):
@@ -401,11 +422,39 @@ def _all_hours(parts, schema_from):
 
 
 def _tested(df):
-    return df.select(
-        KEY, TS, "actual_kw", "baseline_kw", "model_id", "model_type", "horizon_hours", _sound("p10", "predicted_kw", "p90")
+    """``sound``: finite, in order, and the upper bound one and the same width of 50 kW or more above the prediction, per model."""
+    width, own = F.col("p90") - F.col("predicted_kw"), Window.partitionBy("model_id")
+    even = (F.max(width).over(own) - F.min(width).over(own) < 1e-6) & (width > 50 - 1e-6)
+    return df.withColumn("_even", even).select(
+        KEY, TS, "actual_kw", "baseline_kw", "model_id", "model_type", "horizon_hours",
+        (_sound("p10", "predicted_kw", "p90") & F.col("_even")).alias("sound"),
+    )
+
+
+#: Test rows from which a model's error is compared with that of persistence.
+COMPARED_ROWS = 100
+
+
+def _scores_sql(model_type: str, reach: int, where: str) -> str:
+    return f"""
+    SELECT asset_id, model_id, horizon_hours, count(*) AS test_rows, avg(abs(actual_kw - baseline_kw)) AS persistence_mae,
+           CASE WHEN count(*) >= {COMPARED_ROWS} THEN true END AS better
+    FROM ({_tested_sql(model_type, reach, where)}) GROUP BY asset_id, model_id, horizon_hours
+    """
+
+
+def _scores(df):
+    """``better``: the mean error is below that of persistence on the same rows, as no constant guess is an hour ahead."""
+    own = F.avg(F.abs(F.col("actual_kw") - F.col("predicted_kw")))
+    base = F.avg(F.abs(F.col("actual_kw") - F.col("baseline_kw")))
+    return df.groupBy(KEY, "model_id", "horizon_hours").agg(
+        F.count("*").alias("test_rows"), base.alias("persistence_mae"), F.when(F.count("*") >= COMPARED_ROWS, own < base).alias("better")
     )
 
 
+_NO_SCORES = f"{KEY} string, model_id string, horizon_hours int, test_rows long, persistence_mae double, better boolean"
+
+
 def _nothing_tested(spark):
     kind = "timestamp timestamp_ntz, actual_kw double, baseline_kw double, model_id string, model_type string, horizon_hours int"
     return spark.createDataFrame([], f"{KEY} string, {kind}, sound boolean")
@@ -428,24 +477,44 @@ def sequence_model(spark, sf_dir):
     return _all_hours([_tested(learned.sequence_outputs(*f)) for f in fits], _nothing_tested(spark))
 
 
+@query("b4_tree_scores", _scores_sql(learned.GBT_TYPE, _REACH, f"horizon_hours IN {_TREES_FIT}"), "persistence_mae", BACKTEST)
+def tree_scores(spark, sf_dir):
+    parts = [_scores(f[1]) for h in LEARNED_HOURS if (f := _boosted(spark, sf_dir, h))]
+    return _all_hours(parts, spark.createDataFrame([], _NO_SCORES))
+
+
+@query("b5_sequence_scores", _scores_sql(learned.SEQUENCE_TYPE, _WINDOW_ROWS, f"horizon_hours IN {_FITS}"), "persistence_mae", BACKTEST)
+def sequence_scores(spark, sf_dir):
+    fits = [f for h in LEARNED_HOURS if (f := _sequence(spark, sf_dir, h))]
+    return _all_hours([_scores(learned.sequence_outputs(*f)) for f in fits], spark.createDataFrame([], _NO_SCORES))
+
+
 @query(
     "c4_sequence_calibration",
     f"""
     SELECT asset_id, concat('{learned.SEQUENCE_TYPE.replace("_", "-")}-', asset_id, '-', CAST(horizon_hours AS VARCHAR), 'h') AS model_id,
            '{learned.SEQUENCE_TYPE}' AS model_type, CAST(horizon_hours AS INTEGER) AS horizon_hours, count(*) AS n_cal, 9e-1 AS quantile_level,
-           true AS sound
+           CAST(floor(9e-1*(count(*) - 1)) + 1 AS BIGINT) AS rows_inside, CAST(floor(5e-1*(count(*) - 1)) + 1 AS BIGINT) AS rows_below_median, count(*) AS rows_in_all
     FROM anc WHERE split = 'val' AND row_index - h >= {_WINDOW_ROWS} AND horizon_hours IN {_FITS} GROUP BY asset_id, horizon_hours
     """,
     "quantile_level",
     BACKTEST,
 )
 def sequence_calibration(spark, sf_dir):
+    """The val rows whose residual lies within each figure: as many as the rank says."""
     fits = [f for h in LEARNED_HOURS if (f := _sequence(spark, sf_dir, h))]
     keys = [KEY, "model_id", "model_type", "horizon_hours", "n_cal", "quantile_level"]
-    parts = [
-        learned.calibrate_sequence(f[1]).select(*keys, _sound("median_residual", "interval_q", "max_residual")) for f in fits
-    ]
-    kind = f"{KEY} string, model_id string, model_type string, horizon_hours int, n_cal long, quantile_level double, sound boolean"
+    figures = {"interval_q": "rows_inside", "median_residual": "rows_below_median", "max_residual": "rows_in_all"}
+
+    def held(scored):
+        residual = F.abs(F.col("actual_kw") - F.col("raw_kw"))
+        rows = scored.where(F.col("split") == "val").select("model_id", residual.alias("_r"))
+        both = rows.join(learned.calibrate_sequence(scored), "model_id")
+        return both.groupBy(*keys).agg(*[F.count_if(F.col("_r") <= F.col(c) + 1e-9).alias(n) for c, n in figures.items()])
+
+    parts = [held(f[1]) for f in fits]
+    kind = f"{KEY} string, model_id string, model_type string, horizon_hours int, n_cal long, quantile_level double"
+    kind += "".join(f", {n} long" for n in figures.values())
     return _all_hours(parts, spark.createDataFrame([], kind))
 
 
@@ -508,25 +577,53 @@ def sequence_forecast(spark, sf_dir):
 
 
 def _compared_sql(model_type: str, reach: int, where: str = "true") -> str:
-    return f"SELECT asset_id, model_id, model_type, horizon_hours FROM ({_tested_sql(model_type, reach, where)})"
+    return f"SELECT asset_id, model_id, model_type, horizon_hours, actual_kw, CAST(NULL AS DOUBLE) FROM ({_tested_sql(model_type, reach, where)})"
+
+
+_LEFT_OUT = f"""
+    SELECT NULL AS asset_id, NULL AS model_id, '{learned.GBT_TYPE}' AS model_type, CAST(horizon_hours AS INTEGER) AS horizon_hours, 0 AS test_rows,
+           CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS BOOLEAN) AS better,
+           concat('no rows to train on: the look-back and ', CAST(h AS VARCHAR), ' steps ahead do not fit into the train part') AS left_out
+    FROM hor WHERE horizon_hours NOT IN {_TREES_FIT}
+    UNION ALL
+    SELECT NULL, NULL, '{learned.SEQUENCE_TYPE}', CAST(horizon_hours AS INTEGER), 0, NULL, NULL, 'too few train windows'
+    FROM hor WHERE horizon_hours NOT IN {_FITS}
+"""
 
 
 @query(
     "b7_model_grid",
     f"""
-    SELECT asset_id, model_id, model_type, horizon_hours, count(*) AS test_rows, true AS sound
-    FROM (SELECT asset_id, model_id, model_type, horizon_hours FROM outp
+    SELECT asset_id, model_id, model_type, horizon_hours, count(*) AS test_rows,
+           CASE WHEN model_type IN ('persistence', 'power_curve', 'rolling_mean') THEN avg(abs(actual_kw - predicted_kw)) END AS mae,
+           CASE WHEN model_type IN ('{learned.GBT_TYPE}', '{learned.SEQUENCE_TYPE}') AND count(*) >= {COMPARED_ROWS} THEN true END AS better,
+           CAST(NULL AS VARCHAR) AS left_out
+    FROM (SELECT asset_id, model_id, model_type, horizon_hours, actual_kw, predicted_kw FROM outp
           UNION ALL {_compared_sql(learned.GBT_TYPE, _REACH, f"horizon_hours IN {_TREES_FIT}")}
           UNION ALL {_compared_sql(learned.SEQUENCE_TYPE, _WINDOW_ROWS, f"horizon_hours IN {_FITS}")})
     GROUP BY asset_id, model_id, model_type, horizon_hours
+    UNION ALL {_LEFT_OUT}
     """,
+    "mae",
     tables=BACKTEST,
 )
 def model_grid(spark, sf_dir):
-    """The comparison of all five models over three horizons, each fitted with its own settings."""
-    table = backtest.comparison(learned.grid_outputs(indexed(spark, sf_dir), LEARNED_HOURS))
-    sound = _sound("mae", "mae", "rmse") & F.col("coverage_p90").between(0, 1) & F.col("skill_score").isNotNull()
-    return table.select(KEY, "model_id", "model_type", "horizon_hours", "test_rows", sound.alias("sound"))
+    """The comparison of all five models over three horizons, each fitted with its own settings, and the models left out, with the reason.
+
+    SQL has the baselines' errors; a learned model's is compared with that of persistence on its rows (``better``)."""
+    problems: list[tuple[str, int, str]] = []
+    grid = backtest.comparison(learned.grid_outputs(indexed(spark, sf_dir), LEARNED_HOURS, problems=problems))
+    learns = F.col("model_type").isin(learned.GBT_TYPE, learned.SEQUENCE_TYPE)
+    table = grid.select(
+        KEY, "model_id", "model_type", "horizon_hours", "test_rows", F.when(~learns, F.col("mae")).alias("mae"),
+        F.when(learns & (F.col("test_rows") >= COMPARED_ROWS), F.col("skill_score") > 0).alias("better"), F.lit(None).cast("string").alias("left_out"),
+    )
+    nothing = F.lit(None)
+    left_out = learned.problem_table(spark, problems).select(
+        nothing.cast("string").alias(KEY), nothing.cast("string").alias("model_id"), "model_type", "horizon_hours", F.lit(0).cast("long").alias("test_rows"),
+        nothing.cast("double").alias("mae"), nothing.cast("boolean").alias("better"), F.col("reason").alias("left_out"),
+    )
+    return table.unionByName(left_out)
 
 
 @query("s9a_save_and_load_model", _LATEST.format(flag="equal"), tables=BACKTEST)
@@ -596,8 +693,7 @@ def choose_trained_model(spark, sf_dir):
 
 def forget_fits() -> None:
     """Fit anew from here on, as a benchmark must."""
-    _boosted.cache_clear()
-    _sequence.cache_clear()
+    _FITTED.clear()
 
 
 # ---- registry and files --------------------------------------------------------------------------

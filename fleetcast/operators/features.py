@@ -64,7 +64,7 @@ def complete_rows_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _finish(rows: DataFrame) -> DataFrame:
-    kept = complete_rows_of(rows, [c for c in rows.columns if c not in ("_mean_3", "_std_3")])
+    kept = complete_rows_of(rows, rows.columns)  # the physics columns need the last three rows, whatever the windows
     physics = physics_columns(F.col("_mean_3"), F.col("_std_3"))
     derived = {**direction_columns(), **calendar_columns(), **physics, "persistence_kw": F.col(POWER)}
     return kept.withColumns(derived).drop("_mean_3", "_std_3")

@@ -470,13 +470,18 @@ def grid_outputs(
     parts = []
     if baselines:
         parts.append(baseline_outputs(indexed, horizons=horizons, models=baselines, step_minutes=step_minutes))
+    options = dict(trees or {})
+    known = options.pop("known", None)
+    if GBT_TYPE in models and known is None and not options.get("complete_rows"):
+        sets = {k: options[k] for k in ("lags", "windows", "chunk_rows") if k in options}
+        known = training_features(indexed, horizons, step_minutes=step_minutes, **sets)
     for hours in horizons:
         for name in models:
             if name in BASELINES:
                 continue
             try:
                 if name == GBT_TYPE:
-                    part = fit_boosted(indexed, hours, step_minutes=step_minutes, **(trees or {}))[1]
+                    part = fit_boosted(indexed, hours, step_minutes=step_minutes, known=known, **options)[1]
                 else:
                     fitted = fit_sequence(indexed, hours, step_minutes=step_minutes)
                     part = None if fitted is None else sequence_outputs(*fitted)

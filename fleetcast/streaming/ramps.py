@@ -117,11 +117,12 @@ class RampRuns(StatefulProcessor):
             run, done = advance(run, us, power, self.ramp_kw, self.ramp_pct)
             ended.extend(done.tolist())
         if run is not None and run.steps:
-            if now_us >= run.last_us + self.silence_us:
+            close_us = -(-(run.last_us + self.silence_us) // self.bucket_us) * self.bucket_us
+            if close_us > timerValues.getCurrentWatermarkInMs() * 1000:
+                self._wake(close_us)
+            elif not any(self.waiting.containsKey((b,)) for b in range(bucket + 1, close_us // self.bucket_us)):
                 ended.append([run.start_us, run.last_us, run.start_power, run.last_power, run.steps])
                 run = run.closed()
-            else:
-                self._wake(-(-(run.last_us + self.silence_us) // self.bucket_us) * self.bucket_us)
         if run is not None:
             self.run.update((run.last_us, run.last_power, run.start_us, run.start_power, run.steps))
         if ended:
