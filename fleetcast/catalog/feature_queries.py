@@ -11,6 +11,9 @@ from fleetcast.operators import cleaning, features, splits
 from fleetcast.operators.timeline import ROW, TOTAL, along_timeline, last_rows, with_row_index
 from fleetcast.plans import backtest
 from fleetcast.schemas import KEY, MEASURES, POWER, SEQ, TS, WIND
+from fleetcast.session import new_table_path
+from fleetcast.sources.scada import load_observations
+from fleetcast.sources.timeline_store import store_timeline, stored_rows
 
 
 def indexed(spark, sf_dir):
@@ -221,6 +224,38 @@ def row_index(spark, sf_dir):
     return indexed(spark, sf_dir).select(KEY, TS, ROW, TOTAL)
 
 
+def stored(spark, sf_dir):
+    """The numbered rows as a stored table; returns its name and its chunks."""
+    path = new_table_path(spark, "timeline")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    return name, store_timeline(indexed(spark, sf_dir), name, path)
+
+
+@query("w10_stored_timeline", f'SELECT asset_id, "timestamp", row_index, n_rows, {POWER} FROM idx', POWER)
+def stored_timeline(spark, sf_dir):
+    return stored_rows(spark, stored(spark, sf_dir)[0]).select(KEY, TS, ROW, TOTAL, POWER)
+
+
+@query(
+    "s5a_stored_range",
+    """
+    SELECT asset_id, "timestamp", row_index, active_power_kw FROM idx
+    WHERE asset_id = 'T2' AND "timestamp" >= TIMESTAMP '2018-01-01 12:00:00' AND "timestamp" < TIMESTAMP '2018-01-05 00:00:00'
+    """,
+    "active_power_kw",
+)
+def stored_range(spark, sf_dir):
+    """One asset and a time range of the stored timeline; both filters reach the scan."""
+    rows = stored_rows(spark, stored(spark, sf_dir)[0])
+    return load_observations(rows, "T2", "2018-01-01 12:00:00", "2018-01-05 00:00:00").select(KEY, TS, ROW, POWER)
+
+
+@query("w1_stored_lags", f'SELECT asset_id, "timestamp", {_LAGS} FROM idx {_T}', _LAG_NAMES)
+def stored_lags(spark, sf_dir):
+    columns = {n: f for n, f in features.window_columns(features.LAGS, ()).items() if "_lag_" in n}
+    return along_timeline(stored(spark, sf_dir)[1], columns, back=24).select(KEY, TS, *columns)
+
+
 @query(
     "w11_last_rows",
     'SELECT asset_id, "timestamp", active_power_kw FROM idx WHERE row_index >= n_rows - 36',
@@ -291,6 +326,11 @@ def tabular_features(spark, sf_dir):
     return features.tabular_features(indexed(spark, sf_dir)).drop(ROW, TOTAL)
 
 
+@query("f2_stored_features", *_frame_sql(features.LAGS, features.WINDOWS, None))
+def stored_features(spark, sf_dir):
+    return features.tabular_features(stored(spark, sf_dir)[1]).drop(ROW, TOTAL)
+
+
 @query("f3_supervised_features", *_frame_sql(features.TRAINING_LAGS, features.TRAINING_WINDOWS, 6))
 def supervised_features(spark, sf_dir):
     frame = features.supervised_features(

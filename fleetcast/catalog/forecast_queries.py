@@ -18,7 +18,8 @@ from fleetcast.schemas import KEY, MEASURES, POWER, RATED_KW, THEORETICAL, TS, W
 from fleetcast.session import new_table_path
 from fleetcast.sources import outputs as files
 from fleetcast.sources import registry
-from fleetcast.sources.weather import flatten_hourly
+from fleetcast.sources.weather import FILE, RESPONSE_DDL, file_accounts, flatten_hourly, stream_responses, weather_rows
+from fleetcast.streaming.landing import appended, appending
 
 
 def indexed(spark, sf_dir):
@@ -799,7 +800,7 @@ def comparison_record(spark, sf_dir):
     )
 
 
-def _responses(spark, sf_dir):
+def _responses(spark, sf_dir, *more):
     """Weather responses per asset and day, made from ``events``: a short array, a missing one, bad values."""
     events = table(spark, sf_dir, "events")
     hour = F.col("event_id") % 24
@@ -828,11 +829,11 @@ def _responses(spark, sf_dir):
         ),
         F.transform("r", lambda x: (x["value"] / 10).cast("string")).alias("temperature_2m"),
     )
-    return days.select(KEY, F.to_json(F.struct(hourly.alias("hourly"))).alias("response"))
+    return days.select(KEY, *more, F.to_json(F.struct(hourly.alias("hourly"))).alias("response"))
 
 
-_WEATHER = """
-    SELECT asset_id, TIMESTAMP '2018-01-01 00:00:00' + to_days(CAST(day AS INTEGER)) + to_hours(hour) AS "timestamp",
+_WEATHER_OF_DAYS = """
+    SELECT asset_id, day, TIMESTAMP '2018-01-01 00:00:00' + to_days(CAST(day AS INTEGER)) + to_hours(hour) AS "timestamp",
            value AS wind_speed_10m_mps, CASE WHEN place < 12 THEN value END AS wind_speed_100m_mps,
            CASE WHEN hour <> 5 THEN CAST(event_id%24 AS DOUBLE) END AS wind_direction_deg, value/1e1 AS temperature_c,
            CAST(NULL AS DOUBLE) AS pressure_hpa
@@ -840,6 +841,7 @@ _WEATHER = """
             (SELECT *, concat('T', CAST(event_id%4+1 AS VARCHAR)) AS asset_id, event_id//96 AS day,
                     (event_id//4)%24 AS hour FROM events)) WHERE hour <> 23
 """
+_WEATHER = f"SELECT * EXCLUDE (day) FROM ({_WEATHER_OF_DAYS})"
 _WEATHER_DOUBLES = "wind_speed_10m_mps wind_speed_100m_mps wind_direction_deg temperature_c pressure_hpa"
 
 
@@ -848,6 +850,50 @@ def weather_json(spark, sf_dir):
     return flatten_hourly(_responses(spark, sf_dir))
 
 
+def _landed_responses(spark, sf_dir, path):
+    """Lands a file per response, in two parts; the stream takes what is there after each. Every fifth is laid out over many lines,
+    every seventh is cut short."""
+    text = F.col("response")
+    parsed = F.from_json(text, RESPONSE_DDL)
+    pretty = F.to_json(parsed, {"pretty": "true"})
+    day = F.col("day")
+    shown = F.when(day % 7 == 3, F.substring(text, F.lit(1), F.length(text) - 9)).when(day % 5 == 2, pretty).otherwise(text)
+    rows = _responses(spark, sf_dir, "day").select(KEY, day.cast("string").alias("landed"), shown.alias("value"))
+    landed, seen = f"{path}/landed", appending({f"{path}/rows": weather_rows, f"{path}/files": file_accounts})
+    for part in (0, 1):
+        own = rows.where(F.col("landed").cast("int") % 2 == part)
+        own.repartition(1, KEY).write.mode("append").partitionBy(KEY, "landed").text(landed)
+        stream = stream_responses(spark, landed)
+        (
+            stream.writeStream.option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True)
+            .foreachBatch(seen).start().awaitTermination()
+        )
+    return weather_rows(stream).schema, file_accounts(stream).schema
+
+
+@query("s10_landed_stream", f"SELECT * FROM ({_WEATHER_OF_DAYS}) WHERE day % 7 <> 3", _WEATHER_DOUBLES)
+def landed_stream(spark, sf_dir):
+    path = new_table_path(spark, "weather-stream")
+    kind, _ = _landed_responses(spark, sf_dir, path)
+    day = F.regexp_extract(FILE, r"landed=([0-9]+)/", 1).cast("long")
+    return appended(spark, f"{path}/rows", kind).withColumn("day", day).drop(FILE)
+
+
+@query(
+    "s10_landed_files",
+    """
+    SELECT asset_id, day, day % 7 <> 3 AS readable, CASE WHEN day % 7 <> 3 THEN count(*) ELSE 0 END AS hours
+    FROM (SELECT *, concat('T', CAST(event_id%4+1 AS VARCHAR)) AS asset_id, event_id//96 AS day FROM events) GROUP BY asset_id, day
+    """,
+)
+def landed_files(spark, sf_dir):
+    """The account of each landed file: whether it could be read, and the hours in it."""
+    path = new_table_path(spark, "weather-stream")
+    _, kind = _landed_responses(spark, sf_dir, path)
+    day = F.regexp_extract(FILE, r"landed=([0-9]+)/", 1).cast("long")
+    return appended(spark, f"{path}/files", kind).select(KEY, day.alias("day"), "readable", "hours")
+
+
 @query(
     "j3_with_weather",
     f"""

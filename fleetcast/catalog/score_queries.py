@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from fleetcast.catalog.base import BACKTEST, query
+from fleetcast.catalog.feature_queries import stored
 from fleetcast.catalog.testview import scada
 from fleetcast.operators import conformal, metrics, reporting, risk, splits
 from fleetcast.operators.timeline import ROW, with_row_index
@@ -311,6 +312,12 @@ def uniform_outputs(spark, sf_dir):
     return outputs(spark, sf_dir)
 
 
+@query("b6_stored_outputs", "SELECT * FROM outp", OUTPUT_DOUBLES, BACKTEST)
+def stored_outputs(spark, sf_dir):
+    """The whole backtest of the baselines from a stored timeline: its windows need no exchange."""
+    return backtest.baseline_outputs(stored(spark, sf_dir)[1])
+
+
 @query(
     "b8_one_step_scores",
     f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import coverage, mae, rmse, skill, smape
 from fleetcast.operators.quantiles import group_quantiles, is_finite
-from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline
+from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, kept_columns
 from fleetcast.schemas import KEY, POWER, THEORETICAL, TS, WIND
 
 MODEL_KEYS = [KEY, "model_id", "model_type", "horizon_hours"]
@@ -94,7 +94,7 @@ def power_curve_scores(df: DataFrame) -> DataFrame:
 def change_residual(indexed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Twice the 0.9 quantile of the absolute step changes; 200 for assets with no step."""
     changes = along_timeline(
-        indexed.select(KEY, TS, POWER, ROW, TOTAL),
+        kept_columns(indexed, KEY, TS, POWER, ROW, TOTAL),
         {"_change": lambda w: F.abs(F.col(POWER) - F.lag(POWER).over(w))},
         back=1,
         chunk_rows=chunk_rows,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import minutes_between
-from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, with_row_index
+from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, kept_columns, with_row_index
 from fleetcast.schemas import KEY, POWER, TS
 
 # Thresholds in kW and percent, capacity in kW.
@@ -23,7 +23,7 @@ def adjacent_ramps(
 ) -> DataFrame:
     """Neighbouring rows at most an hour apart whose power differs by the threshold or more."""
     pairs = along_timeline(
-        indexed.select(KEY, TS, POWER, ROW, TOTAL),
+        kept_columns(indexed, KEY, TS, POWER, ROW, TOTAL),
         {
             "start_time": lambda w: F.lag(TS).over(w),
             "change_kw": lambda w: F.col(POWER) - F.lag(POWER).over(w),
@@ -75,7 +75,7 @@ def ramp_events(
         return is_ramp_step(before, after, ramp_kw, ramp_pct)
 
     steps = along_timeline(
-        indexed.select(KEY, TS, F.col(power).alias("_p"), ROW, TOTAL),
+        kept_columns(indexed, KEY, TS, power, ROW, TOTAL).withColumnRenamed(power, "_p"),
         {
             "_p1": lambda w: F.lag("_p", 1).over(w),
             "_p2": lambda w: F.lag("_p", 2).over(w),
@@ -142,7 +142,7 @@ def rows_in_ramps(
 ) -> DataFrame:
     """Rows with ``in_ramp``: part of a run, or the row before it. No range join: a row's neighbours decide."""
     flagged = along_timeline(
-        indexed.select(KEY, TS, POWER, ROW, TOTAL),
+        kept_columns(indexed, KEY, TS, POWER, ROW, TOTAL),
         {
             "in_ramp": lambda w: is_ramp_step(F.lag(POWER).over(w), F.col(POWER), ramp_kw, ramp_pct)
             | is_ramp_step(F.col(POWER), F.lead(POWER).over(w), ramp_kw, ramp_pct)

@@ -93,12 +93,30 @@ def along_timeline(
     chunk_rows: int = CHUNK_ROWS,
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Add window columns to indexed rows: ``columns`` maps a name to ``f(window) -> Column``."""
+    """Add window columns to indexed rows: ``columns`` maps a name to ``f(window) -> Column``.
+
+    A stored timeline (see sources.timeline_store) has its chunks already, and is read without an exchange.
+    """
     w = chunk_window(keys)
-    reach = chunked(df, back, ahead, chunk_rows)
+    if stored := stored_reach(df):
+        if back > stored["back"] or ahead > stored["ahead"]:
+            raise ValueError(f"the stored timeline reaches {stored['back']} rows back and {stored['ahead']} ahead; {back} and {ahead} are needed")
+        reach, chunk_rows = df, stored["chunk_rows"]
+    else:
+        reach = chunked(df, back, ahead, chunk_rows)
     return home_rows(reach.select("*", *[make(w).alias(name) for name, make in columns.items()]), chunk_rows)
 
 
+def stored_reach(df: DataFrame) -> dict | None:
+    """How far the chunks of a stored timeline reach beyond their own rows, and their size; None for plain rows."""
+    return df.schema[CHUNK].metadata or None if CHUNK in df.columns else None
+
+
+def kept_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and the chunk if the rows are those of a stored timeline."""
+    return df.select(*columns, *([CHUNK] if stored_reach(df) else []))
+
+
 def last_rows(df: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
     """The last ``n`` rows per asset; Spark limits each map task's groups before the shuffle."""
     w = Window.partitionBy(*(keys or [KEY])).orderBy(F.col(TS).desc())

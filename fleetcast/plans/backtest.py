@@ -12,7 +12,7 @@ from fleetcast.operators import conformal
 from fleetcast.operators.features import rolling
 from fleetcast.operators.metrics import MODEL_KEYS, coverage_by_power, model_metrics, residual_p90
 from fleetcast.operators.splits import DEFAULT_STEP_MINUTES, TRAIN_RATIO, VAL_RATIO, row_bounds, row_split
-from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach
+from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach, kept_columns
 from fleetcast.schemas import HORIZONS, KEY, POWER, TEST_OUTPUT_COLUMNS, THEORETICAL, TS, WIND
 
 BASELINES = ("persistence", "power_curve", "rolling_mean")
@@ -33,7 +33,7 @@ def anchors(
     columns = {"baseline_kw": lambda w: F.lag(POWER, steps).over(w)}
     if strict_step_minutes is not None:
         columns["_base_ts"] = lambda w: F.lag(TS, steps).over(w)
-    needed = indexed.select(KEY, ROW, TOTAL, TS, POWER, THEORETICAL, WIND)
+    needed = kept_columns(indexed, KEY, ROW, TOTAL, TS, POWER, THEORETICAL, WIND)
     rows = row_split(along_timeline(needed, columns, steps, 0, chunk_rows)).where(F.col(ROW) >= steps)
     if strict_step_minutes is not None:
         exact = micros(F.col(TS)) - micros(F.col("_base_ts")) == int(steps * strict_step_minutes * 60e6)
@@ -82,7 +82,7 @@ def baseline_predictions(
         columns[f"_base_{h}"] = lambda w, n=n: F.lag(POWER, n).over(w)
         if "rolling_mean" in models:
             columns[f"_roll_{h}"] = lambda w, n=n: rolling(F.avg, POWER, window, w, until=-n)
-    needed = indexed.select(KEY, ROW, TOTAL, TS, POWER, THEORETICAL)
+    needed = kept_columns(indexed, KEY, ROW, TOTAL, TS, POWER, THEORETICAL)
     back = max(steps.values()) + window - 1
     rows = row_split(along_timeline(needed, columns, back, 0, chunk_rows), train_ratio, val_ratio)
     entries = []

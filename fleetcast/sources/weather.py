@@ -1,4 +1,4 @@
-"""Landed hourly weather files."""
+"""Landed hourly weather files (S10), read at once or as a stream."""
 
 from __future__ import annotations
 
@@ -44,6 +44,32 @@ def unreadable_responses(spark: SparkSession, path: str, multi_line: bool = Fals
     return found.groupBy(KEY).agg(F.count("*").alias("responses"), F.count_if(F.col("hourly").isNull()).alias("unreadable"))
 
 
+FILE = "response_file"
+
+
+def stream_responses(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """asset_id, hourly, corrupt_response, response_file of landed responses, a file each, however it is laid out.
+
+    The file source remembers in its checkpoint which files it has taken, so each is taken once.
+    """
+    schema = f"{RESPONSE_DDL}, {CORRUPT} string, {KEY} string"
+    reader = spark.readStream.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.option("maxFilesPerTrigger", files_per_batch).json(path)
+    return rows.withColumn(FILE, F.col("_metadata.file_path"))
+
+
+def weather_rows(responses: DataFrame) -> DataFrame:
+    """The weather rows of read responses, with the file each came from."""
+    return _rows(responses.select(KEY, FILE, F.col("hourly").alias("h")), FILE)
+
+
+def file_accounts(responses: DataFrame) -> DataFrame:
+    """Per file: its asset, whether it could be read, and the hours it reports."""
+    hours = F.coalesce(F.size("hourly.time"), F.lit(0))
+    hours = F.when(F.col("hourly").isNotNull(), hours).otherwise(0)
+    return responses.select(KEY, FILE, F.col("hourly").isNotNull().alias("readable"), hours.cast("long").alias("hours"))
+
+
 def flatten_hourly(responses: DataFrame, column: str = "response") -> DataFrame:
     """One row per time stamp of the parallel arrays.
 
@@ -52,18 +78,19 @@ def flatten_hourly(responses: DataFrame, column: str = "response") -> DataFrame:
     return _rows(responses.select(KEY, F.from_json(column, RESPONSE_DDL)["hourly"].alias("h")))
 
 
-def _rows(parsed: DataFrame) -> DataFrame:
+def _rows(parsed: DataFrame, *more: str) -> DataFrame:
     arrays = [
         F.coalesce(F.col("h")[name], F.array().cast("array<string>")).alias(name)
         for name in ("time", *HOURLY_TO_INTERNAL)
     ]
-    rows = parsed.select(KEY, *arrays).select(KEY, F.inline(F.arrays_zip("time", *HOURLY_TO_INTERNAL)))
+    rows = parsed.select(KEY, *more, *arrays).select(KEY, *more, F.inline(F.arrays_zip("time", *HOURLY_TO_INTERNAL)))
     return (
         rows.select(
             KEY,
+            *more,
             F.try_to_timestamp("time").cast("timestamp_ntz").alias(TS),
             *[F.col(raw).try_cast("double").alias(name) for raw, name in HOURLY_TO_INTERNAL.items()],
         )
         .where(F.col(TS).isNotNull())
-        .select(*WEATHER_SCHEMA.names)
+        .select(*WEATHER_SCHEMA.names, *more)
     )

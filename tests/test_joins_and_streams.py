@@ -254,3 +254,72 @@ def test_appended_batches_count_once(spark, tmp_path):
     for number, values in ((0, [1, 2]), (1, [3]), (1, [3])):
         write(spark.createDataFrame([(v,) for v in values], "v long"), number)
     assert sorted(r.twice for r in landing.appended(spark, path, "v long, twice long").collect()) == [2, 4, 6]
+
+
+# Stored timelines and landed files --------------------------------------------------------------------
+
+
+def test_a_stored_timeline_is_read_without_an_exchange(spark, sf_dir):
+    from fleetcast.catalog.feature_queries import stored
+    from fleetcast.operators import features, risk
+    from fleetcast.operators.timeline import along_timeline
+    from fleetcast.plans import backtest
+    from fleetcast.sources.scada import load_observations
+    from fleetcast.sources.timeline_store import stored_rows
+
+    name, chunks = stored(spark, sf_dir)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    frames = {
+        "w1": along_timeline(chunks, {"before": lambda w: F.lag(POWER).over(w)}, back=24),
+        "f2": features.tabular_features(chunks),
+        "b6": backtest.baseline_predictions(chunks),
+        "r1": risk.adjacent_ramps(chunks),
+    }
+    for label, df in frames.items():
+        text = plan(df)
+        assert "Exchange" not in text and text.count("FileScan") == 1, label
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    one = plan(load_observations(stored_rows(spark, name), "T2", "2018-01-01 12:00:00"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert f"EqualTo({KEY},T2)" in one and f"GreaterThanOrEqual({TS}" in one
+    with pytest.raises(ValueError, match="reaches"):
+        along_timeline(chunks, {"far": lambda w: F.lag(POWER, 999).over(w)}, back=999)
+    assert stored_rows(spark, name).count() == 1000
+
+
+def test_landed_files_are_taken_once(spark, tmp_path):
+    import json
+
+    from fleetcast.sources import weather
+
+    def land(asset, name, text):
+        folder = tmp_path / "in" / f"{KEY}={asset}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+
+    def response(n):
+        return {"hourly": {"time": [f"2018-01-01T{h:02}:00" for h in range(n)], "temperature_2m": [float(h) for h in range(n)]}}
+
+    write = landing.appending({str(tmp_path / "rows"): weather.weather_rows, str(tmp_path / "files"): weather.file_accounts})
+
+    def run():
+        stream = weather.stream_responses(spark, str(tmp_path / "in"), 2)
+        options = stream.writeStream.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True)
+        options.foreachBatch(write).start().awaitTermination()
+        return [landing.appended(spark, str(tmp_path / p), made(stream).schema) for p, made in (("rows", weather.weather_rows), ("files", weather.file_accounts))]
+
+    land("T1", "a.json", json.dumps(response(3)))
+    land("T1", "b.json", json.dumps(response(2), indent=4))
+    land("T2", "c.json", json.dumps(response(4))[:-9])
+    land("T2", "d.json", json.dumps({"reason": "no data"}))
+    run()
+    land("T2", "e.json", json.dumps(response(1)))
+    rows, files = run()
+    assert sorted((r[KEY], r[TS].hour, r.temperature_c) for r in rows.collect()) == [
+        ("T1", 0, 0.0), ("T1", 0, 0.0), ("T1", 1, 1.0), ("T1", 1, 1.0), ("T1", 2, 2.0), ("T2", 0, 0.0),
+    ]
+    accounts = sorted((r.response_file.rsplit("/", 1)[1], r[KEY], r.readable, r.hours) for r in files.collect())
+    assert accounts == [("a.json", "T1", True, 3), ("b.json", "T1", True, 2), ("c.json", "T2", False, 0), ("d.json", "T2", False, 0), ("e.json", "T2", True, 1)]
