@@ -13,7 +13,7 @@ from fleetcast.catalog.testview import scada, table
 from fleetcast.functions.columns import plus_minutes
 from fleetcast.operators import forecast, metrics, reporting, risk, sequences, splits
 from fleetcast.operators.timeline import with_row_index
-from fleetcast.plans import backtest, learned
+from fleetcast.plans import backtest, learned, rollforward
 from fleetcast.schemas import KEY, MEASURES, POWER, RATED_KW, THEORETICAL, TS, WIND
 from fleetcast.session import new_table_path
 from fleetcast.sources import outputs as files
@@ -539,19 +539,76 @@ def boosted_latest(spark, sf_dir):
     return _all_hours(parts, None)
 
 
+def _steps_sql(model: str, where: str, checks: str) -> str:
+    return f"""
+    SELECT asset_id, CAST(k AS INTEGER) AS step, {_FUTURE} AS "timestamp", concat('{model}-', CAST(horizon_hours AS VARCHAR), 'h') AS model_id,
+           CAST(horizon_hours AS INTEGER) AS horizon_hours, {checks}
+    FROM ({_LAST}) CROSS JOIN hor CROSS JOIN range(1, 145) AS r(k) WHERE k <= h AND {where}
+    """
+
+
 @query(
     "g7_boosted_roll_forward",
-    f"""
-    SELECT asset_id, CAST(k AS INTEGER) AS step, {_FUTURE} AS "timestamp", 'gradient-boosting-1h' AS model_id, 1 AS horizon_hours,
-           true AS sound, true AS widens
-    FROM ({_LAST}) CROSS JOIN range(1, 7) AS r(k)
-    """,
+    _steps_sql("gradient-boosting", f"horizon_hours IN {_TREES_FIT}", "true AS sound, true AS widens, CASE WHEN k = 1 THEN true END AS as_latest"),
+    tables=BACKTEST,
 )
 def boosted_roll_forward(spark, sf_dir):
-    points = learned.roll_forward(_boosted(spark, sf_dir, 1)[0], indexed(spark, sf_dir))
-    first = F.max(F.when(F.col("step") == 1, F.col("p90") - F.col("p50"))).over(Window.partitionBy(KEY))
-    widens = F.abs((F.col("p90") - F.col("p50")) / first - (1 + (F.col("step") - 1) / 5)) < 1e-3
-    return points.select(KEY, "step", TS, "model_id", "horizon_hours", _sound(), widens.alias("widens"))
+    """Every horizon's model rolled over all its steps. ``as_latest``: the first step is the model's value for the latest row."""
+    rows = indexed(spark, sf_dir)
+
+    def shown(model):
+        points = rollforward.roll_forward(model, rows)
+        last = F.greatest(F.lit(1), F.col("horizon_hours") * 6 - 1)
+        first = F.max(F.when(F.col("step") == 1, F.col("p90") - F.col("p50"))).over(Window.partitionBy(KEY))
+        widens = F.abs((F.col("p90") - F.col("p50")) / first - (1 + (F.col("step") - 1) / last)) < 1e-3
+        latest = learned.predict_latest(model, rows).select(KEY, "predicted_kw")
+        same = F.when(F.col("step") == 1, F.abs(F.col("p50") - F.col("predicted_kw")) < 1e-3)
+        return points.join(latest, KEY).select(
+            KEY, "step", TS, "model_id", "horizon_hours", _sound(), widens.alias("widens"), same.alias("as_latest")
+        )
+
+    return _all_hours([shown(f[0]) for h in LEARNED_HOURS if (f := _boosted(spark, sf_dir, h))], None)
+
+
+@query(
+    "g7_direct_forecast",
+    _steps_sql("gradient-boosting-direct", f"horizon_hours IN {_TREES_FIT}", "true AS sound, true AS as_the_longest"),
+    tables=BACKTEST,
+)
+def direct_forecast(spark, sf_dir):
+    """All steps of all horizons from one model with the step as input: a step's value doesn't depend on the horizon asked for.
+
+    It learns the steps up to the longest horizon that has train rows."""
+    rows = indexed(spark, sf_dir)
+    hours = [h for h in LEARNED_HOURS if _boosted(spark, sf_dir, h)]
+    model = kept_fit(spark, sf_dir, "direct", lambda: rollforward.fit_direct(rows, max(hours)))
+    longest = rollforward.direct_forecast(model, rows, max(hours)).select(KEY, "step", F.col("p50").alias("longest_kw"))
+    same = (F.abs(F.col("p50") - F.col("longest_kw")) < 1e-3).alias("as_the_longest")
+    parts = [
+        rollforward.direct_forecast(model, rows, h).join(longest, [KEY, "step"]).select(KEY, "step", TS, "model_id", "horizon_hours", _sound(), same)
+        for h in hours
+    ]
+    return _all_hours(parts, None)
+
+
+@query(
+    "g7_direct_scores",
+    """
+    SELECT asset_id, count(*) AS val_rows, 6 AS step, CASE WHEN count(*) >= 100 THEN true END AS better
+    FROM (SELECT i.*, b.train_end, b.val_end FROM idx i JOIN (SELECT DISTINCT asset_id, train_end, val_end FROM bnd) b ON b.asset_id = i.asset_id)
+    WHERE row_index >= 48 AND row_index + 6 >= train_end AND row_index + 6 < val_end AND active_power_kw > 100 GROUP BY asset_id
+    """,
+)
+def direct_scores(spark, sf_dir):
+    """``better``: an hour ahead on the active val rows the direct model's mean error is below that of persistence."""
+    rows = indexed(spark, sf_dir)
+    hours = [h for h in LEARNED_HOURS if _boosted(spark, sf_dir, h)]
+    model = kept_fit(spark, sf_dir, "direct", lambda: rollforward.fit_direct(rows, max(hours)))
+    val = rollforward.scored_steps(model, rows, [6], "val").where(F.col(POWER) > 100)
+    own, base = F.avg(F.abs(F.col("actual_kw") - F.col("predicted_kw"))), F.avg(F.abs(F.col("actual_kw") - F.col(POWER)))
+    return val.groupBy(KEY).agg(
+        F.count("*").alias("val_rows"), F.first("step").alias("step"), F.when(F.count("*") >= COMPARED_ROWS, own < base).alias("better")
+    )
 
 
 @query(
@@ -686,7 +743,7 @@ def choose_trained_model(spark, sf_dir):
             stamp = datetime(2019, 1, day)
             registry.save_model(spark, root, f"trees-{h}h", fitted[0].pipeline, learned.GBT_TYPE, h, {}, trained_at=stamp)
     newest = registry.latest_model(registry.registry(spark, root), learned.GBT_TYPE)
-    points = learned.roll_forward(_boosted(spark, sf_dir, newest["horizon_hours"])[0], rows).where(F.col(KEY) != "T2")
+    points = rollforward.roll_forward(_boosted(spark, sf_dir, newest["horizon_hours"])[0], rows).where(F.col(KEY) != "T2")
     counts = rows.groupBy(KEY).agg(F.count("*").alias("n_obs"))
     chosen = forecast.choose_forecast(forecast.persistence_forecast(rows, 1), newest["horizon_hours"], counts, 1, points)
     return chosen.select(KEY, "step", TS, "model_id", "horizon_hours", "warnings")

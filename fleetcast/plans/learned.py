@@ -1,4 +1,4 @@
-"""Models fitted on the pooled fleet: MLlib's boosted trees (B4, G6, G7) and a ridge on sequences.
+"""Models fitted on the pooled fleet: MLlib's boosted trees (B4, G6) and a ridge on sequences.
 
 One model serves all assets of a horizon; bias and interval are taken per asset from its val rows.
 """
@@ -50,7 +50,6 @@ log = logging.getLogger(__name__)
 FLOOR_KW = 50.0
 GBT_TYPE = "gradient_boosting"
 SEQUENCE_TYPE = "sequence"
-STEPS_PER_CHECKPOINT = 12
 
 
 @dataclass(frozen=True)
@@ -212,100 +211,6 @@ def predict_latest(model: BoostedModel, indexed: DataFrame, chunk_rows: int = CH
     )
 
 
-def _from_history(power: str, wind: str, model: BoostedModel) -> dict[str, Column]:
-    """The feature columns of the newest of an asset's recent rows, held as two arrays (oldest first)."""
-
-    def back(c: str, k: int) -> Column:
-        return F.element_at(c, -1 - k)
-
-    def mean(c: str, n: int) -> Column:
-        return F.aggregate(F.slice(c, -n, n), F.lit(0.0), lambda a, x: a + x) / n
-
-    def deviation(c: str, n: int) -> Column:
-        m = mean(c, n)
-        squares = F.aggregate(F.slice(c, -n, n), F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-        return F.sqrt(squares / (n - 1))
-
-    out = {}
-    for name, c in (("active_power", power), ("wind_speed", wind)):
-        out |= {f"{name}_lag_{k}": back(c, k) for k in model.lags}
-        out |= {f"{name}_roll_mean_{n}": mean(c, n) for n in model.windows}
-        label = "power" if c == power else "wind_speed"
-        out[f"{label}_rate_of_change"] = back(c, 0) - back(c, 1)
-    out |= {f"active_power_roll_std_{n}": deviation(power, n) for n in model.windows}
-    physics = physics_columns(mean(power, 3), deviation(power, 3))
-    return {**out, **direction_columns(), **calendar_columns(), **physics, "persistence_kw": F.col(POWER)}
-
-
-def roll_forward(model: BoostedModel, observations: DataFrame, horizon_hours: int | None = None) -> DataFrame:
-    """Each predicted step becomes the next step's input; wind and theoretical power stay as last seen.
-
-    The state is one row per asset: arrays with the recent power and wind, as long as the longest
-    look-back. One fleet-wide transform per step; the lineage is cut every few steps. The margin grows
-    from one to two times the residual over the horizon.
-    """
-    hours = horizon_hours or model.horizon_hours
-    count = hours * 6
-    keep = max(*model.lags, max(model.windows) - 1, 2) + 1
-    entry = F.struct(TS, *MEASURES)
-    recent = last_rows(observations.select(KEY, TS, *MEASURES), keep).groupBy(KEY)
-    state = (
-        recent.agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
-        .where(F.size("_rows") == keep)
-        .join(model.figures, KEY)
-        .select(
-            KEY,
-            "bias_kw",
-            "residual_p90",
-            F.element_at("_rows", -1)[TS].alias("origin"),
-            F.transform("_rows", lambda r: r[POWER]).alias("_power"),
-            F.transform("_rows", lambda r: r[WIND]).alias("_wind"),
-            *[F.element_at("_rows", -1)[c].alias(c) for c in MEASURES if c not in (POWER, WIND)],
-            F.array().cast("array<double>").alias("path"),
-        )
-    )
-    carried = state.columns
-    # The predicted row keeps the direction and theoretical power of the last observation.
-    for step in range(1, count + 1):
-        now = state.withColumns(
-            {
-                TS: plus_minutes(F.col("origin"), F.lit(10.0 * (step - 1))),
-                POWER: F.element_at("_power", -1),
-                WIND: F.element_at("_wind", -1),
-            }
-        )
-        scored = model.pipeline.transform(now.withColumns(_from_history("_power", "_wind", model)))
-        value = F.col("prediction") + F.col("bias_kw")
-        if model.predicts_delta:
-            value = value + F.col(POWER)
-        state = (
-            scored.withColumn("_next", F.greatest(F.lit(0.0), value))
-            .withColumns(
-                {
-                    "_power": F.concat(F.slice("_power", 2, keep - 1), F.array("_next")),
-                    "_wind": F.concat(F.slice("_wind", 2, keep - 1), F.slice("_wind", -1, 1)),
-                    "path": F.concat("path", F.array("_next")),
-                }
-            )
-            .select(*carried)
-        )
-        if step % STEPS_PER_CHECKPOINT == 0 and step < count:
-            state = materialise(state)
-    points = state.select(KEY, "origin", "residual_p90", F.posexplode("path").alias("_i", "p50"))
-    scale = F.lit(1.0) + F.col("_i") / F.lit(max(1, count - 1))
-    margin = F.col("residual_p90") * scale
-    return points.select(
-        KEY,
-        (F.col("_i") + 1).alias("step"),
-        plus_minutes(F.col("origin"), (F.col("_i") + 1) * F.lit(10.0)).alias(TS),
-        F.lit(f"{GBT_TYPE.replace('_', '-')}-{hours}h").alias("model_id"),
-        F.lit(hours).alias("horizon_hours"),
-        floored_power(F.col("p50") - margin).alias("p10"),
-        F.round("p50", 3).alias("p50"),
-        F.round(F.col("p50") + margin, 3).alias("p90"),
-    )
-
-
 @dataclass(frozen=True)
 class SequenceModel:
     """A linear model over flattened windows (row by row), with per-asset ``residual_p90``."""

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetcast.operators import metrics
+from fleetcast.operators.features import tabular_features
 from fleetcast.operators.timeline import last_rows, with_row_index
-from fleetcast.plans import backtest, learned
+from fleetcast.plans import backtest, learned, rollforward
 from fleetcast.schemas import KEY, TEST_OUTPUT_COLUMNS, TS
 from fleetcast.sources import outputs, registry
 
@@ -65,7 +68,7 @@ def test_round_trip_through_the_registry(spark, trees, fleet, tmp_path):
 def test_first_rolled_step_is_the_latest_prediction(trees, fleet):
     model, _ = trees
     latest = {r[KEY]: r["predicted_kw"] for r in learned.predict_latest(model, fleet).collect()}
-    points = learned.roll_forward(model, fleet).collect()
+    points = rollforward.roll_forward(model, fleet).collect()
     assert len(points) == 12
     for p in points:
         if p["step"] == 1:
@@ -76,9 +79,38 @@ def test_first_rolled_step_is_the_latest_prediction(trees, fleet):
     assert last["p90"] - last["p50"] == pytest.approx(2 * first_width, rel=0.5)
 
 
-def test_long_roll_forward_passes_its_checkpoints(trees, fleet):
+def test_each_rolled_step_is_the_next_steps_input(spark, trees, fleet):
+    """Predicting the latest row, appending it and predicting again gives the same path."""
     model, _ = trees
-    assert learned.roll_forward(model, fleet, horizon_hours=6).count() == 2 * 36
+    rolled = {(r[KEY], r["step"]): r["p50"] for r in rollforward.roll_forward(model, fleet, horizon_hours=6).collect()}
+    assert len(rolled) == 2 * 36
+    seen = [tuple(r) for r in fleet.drop("row_index", "n_rows").collect()]
+    for step in range(1, 5):
+        latest = learned.predict_latest(model, with_row_index(spark.createDataFrame(seen, DDL))).collect()
+        for r in latest:
+            assert rolled[r[KEY], step] == pytest.approx(r["predicted_kw"], abs=2e-3)
+            last = max((x for x in seen if x[0] == r[KEY]), key=lambda x: x[1])
+            seen.append((last[0], last[1] + timedelta(minutes=10), r["predicted_kw"], *last[3:]))
+
+
+def test_trees_as_arrays_predict_as_the_pipeline(trees, fleet):
+    model, _ = trees
+    rows = model.pipeline.transform(tabular_features(fleet, model.lags, model.windows)).select("prediction", *model.features).collect()
+    got = rollforward.trees_of(model).predict(np.array([[r[c] for c in model.features] for r in rows], float))
+    assert np.allclose(got, [r["prediction"] for r in rows], rtol=1e-9, atol=1e-9)
+
+
+def test_direct_forecast_of_all_steps(fleet):
+    model = rollforward.fit_direct(fleet, 1, steps=(1, 3, 6), lags=(1, 3, 6), windows=(3, 6), max_iter=8, max_depth=4, chunk_rows=128)
+    points = rollforward.direct_forecast(model, fleet, 1).collect()
+    assert sorted((p[KEY], p["step"]) for p in points) == [(a, k) for a in ("T1", "T2") for k in range(1, 7)]
+    assert all(0 <= p["p10"] <= p["p50"] <= p["p90"] for p in points)
+    assert all(p[TS] == START + timedelta(minutes=10 * (359 + p["step"])) for p in points)
+    val = rollforward.scored_steps(model, fleet, [6], "val").collect()
+    own = np.mean([abs(r["actual_kw"] - r["predicted_kw"]) for r in val])
+    assert own < 0.7 * np.mean([abs(r["actual_kw"] - r["active_power_kw"]) for r in val])
+    with pytest.raises(ValueError, match="no rows"):
+        rollforward.fit_direct(fleet.where("row_index < 20").withColumn("n_rows", F.lit(20)), 1, steps=(6,))
 
 
 def test_sequence_model(fleet):
