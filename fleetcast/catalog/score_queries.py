@@ -12,7 +12,7 @@ from fleetcast.catalog.testview import scada
 from fleetcast.operators import conformal, metrics, reporting, risk, splits
 from fleetcast.operators.timeline import ROW, with_row_index
 from fleetcast.plans import backtest
-from fleetcast.schemas import KEY, POWER, TS
+from fleetcast.schemas import KEY, POWER, TS, WIND
 
 
 def indexed(spark, sf_dir):
@@ -406,7 +406,7 @@ def bias_correction(spark, sf_dir):
     BACKTEST,
 )
 def metrics_by_wind(spark, sf_dir):
-    return metrics.metrics_by_wind(outputs(spark, sf_dir), scada(spark, sf_dir))
+    return metrics.metrics_by_wind(outputs(spark, sf_dir, carry={"wind": lambda w: F.col(WIND)}), wind="wind")
 
 
 _STEP = "(abs({b} - {a}) >= 500 OR ({a} > 0 AND abs(({b} - {a})/{a}*100) >= 30))"
@@ -429,7 +429,7 @@ RAMP_ROWS = f"""
     BACKTEST,
 )
 def metrics_by_ramp(spark, sf_dir):
-    return metrics.metrics_by_ramp(outputs(spark, sf_dir), risk.rows_in_ramps(indexed(spark, sf_dir)))
+    return metrics.metrics_by_ramp(outputs(spark, sf_dir, carry={"in_ramp": risk.in_ramp()}))
 
 
 @query(

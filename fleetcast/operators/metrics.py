@@ -153,10 +153,11 @@ def coverage_by_power(outputs: DataFrame, keys: Sequence[str] = tuple(MODEL_KEYS
     return outputs.groupBy(*keys).agg(*figures).select(*keys, F.inline(F.array(*rows)))
 
 
-def metrics_by_wind(outputs: DataFrame, observations: DataFrame, width_mps: float = 1.0) -> DataFrame:
-    """K1: scores per wind-speed bin of ``width_mps``."""
-    wind = observations.select(KEY, TS, F.floor(F.col(WIND) / F.lit(width_mps)).cast("long").alias("wind_bin"))
-    return model_metrics(outputs.join(wind, [KEY, TS]), [*MODEL_KEYS, "wind_bin"])
+def metrics_by_wind(outputs: DataFrame, observations: DataFrame | None = None, width_mps: float = 1.0, wind: str = WIND) -> DataFrame:
+    """K1: scores per wind-speed bin of ``width_mps``. The outputs carry the column ``wind``, or the observations have it."""
+    rows = outputs if observations is None else outputs.join(observations.select(KEY, TS, wind), [KEY, TS])
+    bin_ = F.floor(F.col(wind) / F.lit(width_mps)).cast("long")
+    return model_metrics(rows.withColumn("wind_bin", bin_), [*MODEL_KEYS, "wind_bin"])
 
 
 def metrics_by_regime(outputs: DataFrame) -> DataFrame:
@@ -165,9 +166,10 @@ def metrics_by_regime(outputs: DataFrame) -> DataFrame:
     return model_metrics(outputs.withColumn("power_bin", regime), [*MODEL_KEYS, "power_bin"])
 
 
-def metrics_by_ramp(outputs: DataFrame, ramp_rows: DataFrame) -> DataFrame:
-    """K2: scores inside and outside ramps; ``ramp_rows`` has (asset, timestamp, in_ramp)."""
-    return model_metrics(outputs.join(ramp_rows, [KEY, TS]), [*MODEL_KEYS, "in_ramp"])
+def metrics_by_ramp(outputs: DataFrame, ramp_rows: DataFrame | None = None) -> DataFrame:
+    """K2: scores inside and outside ramps. The outputs carry ``in_ramp``, or ``ramp_rows`` has (asset, timestamp, in_ramp)."""
+    rows = outputs if ramp_rows is None else outputs.join(ramp_rows, [KEY, TS])
+    return model_metrics(rows, [*MODEL_KEYS, "in_ramp"])
 
 
 def one_step_scores(indexed: DataFrame, window: int = 6, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

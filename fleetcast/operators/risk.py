@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import minutes_between
@@ -137,16 +139,20 @@ def ramp_events(
     )
 
 
+def in_ramp(ramp_kw: float = RAMP_KW, ramp_pct: float = RAMP_PCT) -> Callable[[WindowSpec], Column]:
+    """Whether a row is part of a run of ramp steps, or the row before it, for a window along the timeline."""
+    return lambda w: is_ramp_step(F.lag(POWER).over(w), F.col(POWER), ramp_kw, ramp_pct) | is_ramp_step(
+        F.col(POWER), F.lead(POWER).over(w), ramp_kw, ramp_pct
+    )
+
+
 def rows_in_ramps(
     indexed: DataFrame, ramp_kw: float = RAMP_KW, ramp_pct: float = RAMP_PCT, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Rows with ``in_ramp``: part of a run, or the row before it. No range join: a row's neighbours decide."""
     flagged = along_timeline(
         kept_columns(indexed, KEY, TS, POWER, ROW, TOTAL),
-        {
-            "in_ramp": lambda w: is_ramp_step(F.lag(POWER).over(w), F.col(POWER), ramp_kw, ramp_pct)
-            | is_ramp_step(F.col(POWER), F.lead(POWER).over(w), ramp_kw, ramp_pct)
-        },
+        {"in_ramp": in_ramp(ramp_kw, ramp_pct)},
         back=1,
         ahead=1,
         chunk_rows=chunk_rows,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetcast.functions.columns import micros
@@ -70,10 +70,11 @@ def baseline_predictions(
     train_ratio: float = TRAIN_RATIO,
     val_ratio: float = VAL_RATIO,
     chunk_rows: int = CHUNK_ROWS,
+    carry: Mapping[str, Callable[[WindowSpec], Column]] | None = None,
 ) -> DataFrame:
     """Val and test rows of every baseline and horizon, without intervals.
 
-    One exchange and one sort serve the whole grid: each horizon adds two window columns, and a row
+    ``carry`` adds columns of the predicted row under new names, as ``along_timeline`` takes them (they may look one row ahead). One exchange and one sort serve the whole grid: each horizon adds two window columns, and a row
     is unfolded into its (model, horizon) predictions at the end.
     """
     steps = {h: horizon_steps(h, step_minutes) for h in horizons}
@@ -82,9 +83,11 @@ def baseline_predictions(
         columns[f"_base_{h}"] = lambda w, n=n: F.lag(POWER, n).over(w)
         if "rolling_mean" in models:
             columns[f"_roll_{h}"] = lambda w, n=n: rolling(F.avg, POWER, window, w, until=-n)
-    needed = kept_columns(indexed, KEY, ROW, TOTAL, TS, POWER, THEORETICAL)
+    carry = carry or {}
+    needed = kept_columns(indexed, KEY, ROW, TOTAL, TS, POWER, THEORETICAL, *([WIND] if carry else []))
     back = max(steps.values()) + window - 1
-    rows = row_split(along_timeline(needed, columns, back, 0, chunk_rows), train_ratio, val_ratio)
+    along = along_timeline(needed, {**columns, **carry}, back, 1 if carry else 0, chunk_rows)
+    rows = row_split(along, train_ratio, val_ratio)
     entries = []
     for h, n in steps.items():
         predicted = {"persistence": f"_base_{h}", "power_curve": THEORETICAL, "rolling_mean": f"_roll_{h}"}
@@ -106,31 +109,33 @@ def baseline_predictions(
         TS,
         "split",
         F.col(POWER).alias("actual_kw"),
+        *carry,
         F.inline(F.array(*entries)),
     )
     return with_model_id(unfolded.where("_known").drop("_known"))
 
 
-def residual_intervals(predictions: DataFrame, default_p90: float = 50.0) -> DataFrame:
-    """Test rows with p10/p90 from the validation residuals (A8), in the uniform output shape."""
+def residual_intervals(predictions: DataFrame, default_p90: float = 50.0, carried: Sequence[str] = ()) -> DataFrame:
+    """Test rows with p10/p90 from the validation residuals (A8), in the uniform output shape (B6) and behind it the carried columns."""
     band = residual_p90(predictions.where(F.col("split") == "val"), MODEL_KEYS)
     test = attach(predictions.where(F.col("split") == "test"), band, MODEL_KEYS)
     width = F.coalesce("residual_p90", F.lit(default_p90))
     return uniform_outputs(
         test.withColumn("p10", F.greatest(F.lit(0.0), F.col("predicted_kw") - width)).withColumn(
             "p90", F.col("predicted_kw") + width
-        )
+        ),
+        carried,
     )
 
 
-def uniform_outputs(df: DataFrame) -> DataFrame:
+def uniform_outputs(df: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """The ten output columns behind the asset. Rows are ordered when written, not here."""
-    return df.withColumn("residual_kw", F.col("actual_kw") - F.col("predicted_kw")).select(KEY, *TEST_OUTPUT_COLUMNS)
+    return df.withColumn("residual_kw", F.col("actual_kw") - F.col("predicted_kw")).select(KEY, *TEST_OUTPUT_COLUMNS, *carried)
 
 
 def baseline_outputs(indexed: DataFrame, **options) -> DataFrame:
     """B1-B3."""
-    return residual_intervals(baseline_predictions(indexed, **options))
+    return residual_intervals(baseline_predictions(indexed, **options), carried=list(options.get("carry") or ()))
 
 
 def comparison(outputs: DataFrame) -> DataFrame:
