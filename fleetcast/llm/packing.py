@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetcast.llm.common import ID, TEXT, documents, give_back, id_and_text, pieces
-from fleetcast.llm.tokens import shared
+from fleetcast.llm.tokens import of_worker, shared
 from fleetcast.session import written
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
@@ -31,22 +31,24 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = ID, text_col:
     Every document ends with `end_id`; a null text has that id alone. Rows keep the order of their partition.
     """
     frame = id_and_text(docs, id_col, text_col)
-    tokens = shared(docs.sparkSession.sparkContext, tokenizer_path)
-    end = int(end_id).to_bytes(4, "little")
+    definition = shared(docs.sparkSession.sparkContext, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, known = TaskContext.get().partitionId(), 0, tokens.value
+        part, at, known = TaskContext.get().partitionId(), 0, None
         for batch in batches:
+            known = known or of_worker(definition)
             as_binary = batch.set_column(1, TEXT, batch.column(TEXT).cast(pa.binary()))
             for rows in pieces(as_binary, TEXT):
-                ids = [(known.ids(t.decode()) if t else b"") + end for t in rows.column(TEXT).to_pylist()]
-                lengths = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.cumsum(lengths) - lengths
-                at += int(lengths.sum())
+                flat, lengths = known.ids(rows.column(TEXT))
+                flat = np.insert(flat, np.cumsum(lengths), end_id).astype("<u4")
+                lengths = lengths + 1
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                ids = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(ID), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(ids, pa.binary())],
+                    [rows.column(ID), pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(at + ends[:-1]), ids],
                     names=[ID, "part", "at", "ids"],
                 )
+                at += int(ends[-1])
         give_back()
 
     return written(frame.mapInArrow(run, f"{ID} long, part int, at long, ids binary"), "pack-tokens")

@@ -1,96 +1,207 @@
-"""Token ids of a public tokenizer inside Python workers, with a memory of the pieces already seen."""
+"""Token ids of a public tokenizer inside Python workers, a block of texts at a time.
+
+For a tokenizer that lower-cases and parts texts at white space, a block's bytes are cut into words and what follows them, equal
+pieces are found by Arrow, only pieces not seen before are encoded, and the ids are laid out by numpy: Python's work is per distinct
+piece. Other tokenizers encode whole texts.
+"""
 
 from __future__ import annotations
 
 import array
-from collections.abc import Callable
+import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, SparkContext
 
-#: Entries of a generation of a worker's memories for chunks and for words. Only speed depends on them.
-CHUNKS, WORDS = 50_000, 200_000
-#: Longer pieces aren't remembered, so a generation's memory is bounded in bytes too.
-LONGEST = 64
+from fleetcast.llm.common import text_bytes
+
+#: Pieces of one generation of a worker's memory; only speed depends on it. Bytes of text that are cut up, and words encoded, at once.
+PIECES, SLICE, JOINED = 150_000, 1 << 20, 500
+
+# The normalizer and pre-tokenizer of definitions whose ids are those of the pieces between spaces, one after another.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+_LETTER, _MARK, _OTHER = 1, 2, 3
+
+
+def parts_at_spaces(definition: str) -> bool:
+    known = json.loads(definition)
+    return known.get("normalizer") == _NORMALIZER and known.get("pre_tokenizer") == _PRE_TOKENIZER
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with ASCII and Latin letters in lower case, and the class of each byte: 0 space or line feed, letter, ASCII
+    that is no letter, other."""
+    classes = np.full(256, _OTHER, np.uint8)
+    classes[0x21:0x7F] = _MARK
+    classes[0x41:0x5B] = classes[0x61:0x7B] = _LETTER
+    classes[[0x20, 0x0A]] = 0
+    lower = np.arange(256, dtype=np.uint8)
+    lower[0x41:0x5B] += 0x20
+    kind, out = classes[data], lower[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+    kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+    out[lead[letter & (second <= 0x9E)] + 1] += 0x20
+    return out, kind
+
+
+def cut(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of some bytes, and where each begins.
+
+    Between spaces, letters followed by ASCII that is none are a word, in lower case, and its tail; anything else is one piece, as it is.
+    """
+    lower, kind = _lowered(data)
+    solid = kind > 0
+    after = np.concatenate([[False], solid[:-1]])
+    first = np.flatnonzero(solid & ~after)
+    if not len(first):
+        return pa.array([], pa.binary()), first
+    before = np.concatenate([[0], kind[:-1]])
+    turn = (kind == _MARK) & (before == _LETTER)  # from letters to a tail
+    odd = (kind == _OTHER) | ((kind == _LETTER) & (before == _MARK))
+    odd_before = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
+    end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+    plain = (odd_before[end] == odd_before[first]) & (kind[first] == _LETTER)
+    whole = np.zeros(len(data) + 1, np.int8)  # 1 inside chunks that stay whole
+    whole[first[~plain]] += 1
+    whole[end[~plain]] -= 1
+    inside = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
+    begins = solid & (~after | (turn & ~inside))
+    at = np.flatnonzero(begins)
+    text = np.where(inside, data, lower)[solid]
+    place = np.cumsum(solid, dtype=np.int32) - 1
+    offsets = np.append(place[at], len(text)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))]), at
 
 
 class Tokens:
-    """Ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
-
-    No token of this kind of tokenizer spans a space or a line feed, so a text's ids are those of its chunks between them, one after
-    another; chunks and, inside them, runs of lower-case letters repeat often. Broadcast, a worker keeps it for all its tasks.
-    """
+    """Ids of whole texts, without special tokens, and a memory of the pieces already encoded: those used since it was last full, and
+    those of the time before, so only rare pieces are encoded again."""
 
     def __init__(self, definition: str) -> None:
-        self.definition = definition
-        self.chunks: dict[str, bytes] | None = None
-
-    def __getstate__(self) -> str:
-        return self.definition
-
-    def __setstate__(self, definition: str) -> None:
-        self.__init__(definition)
-
-    def _open(self) -> None:
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(self.definition)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        # Letters that lower-case one by one and compose with nothing in ASCII, then ASCII without letters: the
-        # tokenizer parts such a chunk there too.
-        plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~]*)\Z")
-
-        longest = LONGEST
-
-        def ids(text: str) -> bytes:
-            return array.array("I", encode([text], add_special_tokens=False)[0].ids).tobytes()
-
-        class Memory(dict):
-            """What was used since the last change of generation; the one before it is kept as well, so only rare pieces are lost."""
-
-            def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
-                self.make, self.limit, self.old = make, limit, {}
-
-            def __missing__(self, text: str) -> bytes:
-                if len(text) > longest:
-                    return self.make(text)
-                if len(self) >= self.limit:
-                    self.old = dict(self)
-                    self.clear()
-                found = self.old.get(text)
-                if found is None:
-                    found = self.make(text)
-                self[text] = found
-                return found
-
-        def compose(text: str) -> bytes:
-            word, tail = plain.match(text).groups()
-            return words[word.lower()] + (tails[tail] if tail else b"")
-
-        composed, tails = Memory(compose, CHUNKS), Memory(ids, CHUNKS)
-
-        class Words(Memory):
-            """Words in lower case, and what has no such form; chunks composed of a word and more have a smaller memory of their own."""
-
-            def __missing__(self, text: str) -> bytes:
-                if (found := composed.get(text)) is not None:
-                    return found
-                if (m := plain.match(text)) and (m[2] or not text.islower()):
-                    return composed[text]
-                return super().__missing__(text)
-
-        words = self.chunks = Words(ids, WORDS)
-
-    def ids(self, text: str) -> bytes:
-        if self.chunks is None:
-            self._open()
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        tokenizer = Tokenizer.from_str(definition)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.in_pieces = parts_at_spaces(definition)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        if self.in_pieces:
+            suffix = json.loads(definition)["model"]["end_of_word_suffix"]
+            vocabulary = tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def _encoded_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """As _encoded, with many words in a text: a run of letters is one word, whose last token says so."""
+        texts = [p.decode() for p in pieces]
+        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        found: list[bytes] = [b""] * len(texts)
+        joined = self._encoded([" ".join(texts[k] for k in words[at : at + JOINED]) for at in range(0, len(words), JOINED)])
+        for ids, at in zip(joined, range(0, len(words), JOINED), strict=True):
+            own = words[at : at + JOINED]
+            ends = (4 * (np.flatnonzero(self.ends_word[np.frombuffer(ids, np.uint32)]) + 1)).tolist()
+            parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                parts = self._encoded([texts[k] for k in own])
+            for k, part in zip(own, parts, strict=True):
+                found[k] = part
+        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
+        for k, part in zip(rest, self._encoded([texts[k] for k in rest]), strict=True):
+            found[k] = part
+        return found
+
+    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.recent) > PIECES:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        found = list(map(recent.get, pieces))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        unseen = []
+        for k in missing:
+            ids = older.get(pieces[k])
+            if ids is None:
+                unseen.append(k)
+            else:
+                found[k] = recent[pieces[k]] = ids
+        for k, ids in zip(unseen, self._encoded_pieces([pieces[k] for k in unseen]), strict=True):
+            found[k] = recent[pieces[k]] = ids
+        return found
+
+    def _slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some bytes, and how many belong to each of the texts that begin at `bounds`."""
+        pieces, at = cut(data)
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        distinct = pieces.dictionary_encode()
+        known = self._looked_up(distinct.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        own = distinct.indices.to_numpy()
+        lengths = size[own]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(start[own] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        upto = np.concatenate([[0], ends])[np.searchsorted(at, np.append(bounds, len(data)))]
+        return ids, np.diff(upto)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the number of each; nulls have none."""
+        if not self.in_pieces:
+            found = self._encoded(["" if t is None else t.decode() for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        data, offsets = text_bytes(texts)
+        # a space after each text
+        data = np.insert(data, offsets[1:], 0x20) if len(data) else np.full(len(texts), 0x20, np.uint8)
+        bounds = (offsets + np.arange(len(offsets)))[:-1]
+        found, lengths, low = [], np.zeros(len(texts), np.int64), 0
+        while low < len(data):
+            high = min(low + SLICE, len(data))
+            if high < len(data):  # up to the end of a piece
+                rest = data[high:]
+                high += int(np.argmax((rest == 0x20) | (rest == 0x0A)))
+            first, last = np.searchsorted(bounds, [low, high], side="right")
+            own = np.maximum(bounds[first - 1 : last] - low, 0)
+            ids, counts = self._slice(data[low:high], own)
+            found.append(ids)
+            lengths[first - 1 : last] += counts
+            low = high
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), lengths
 
 
 def shared(sc: SparkContext, path: str) -> Broadcast:
-    """The tokenizer of the file at `path`, which only the driver opens; its size is that of the file."""
+    """The definition of the tokenizer of the file at `path`, which only the driver opens; its size is that of the file."""
     with open(path, encoding="utf-8") as f:
-        return sc.broadcast(Tokens(f.read()))
+        return sc.broadcast({"definition": f.read()})
+
+
+def of_worker(sent: Broadcast) -> Tokens:
+    """The tokens of this worker: made once, then kept beside the definition for its later tasks."""
+    held = sent.value
+    if "tokens" not in held:
+        held["tokens"] = Tokens(held["definition"])
+    return held["tokens"]
