@@ -28,6 +28,20 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def set_aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame], *read: str) -> DataFrame:
+    """What `work` makes of docs, with docs' columns; those whose names begin with "__" get others meanwhile (but for the ones `read`),
+    as `work` uses such names."""
+    own = {}
+    for c in docs.columns:
+        if c.startswith("__") and c not in read:
+            own[c] = free_name(docs, f"aside_{len(own)}")
+    if not own:
+        return work(docs)
+    back = {v: k for k, v in own.items()}
+    done = work(docs.select(*[column(c).alias(own.get(c, c)) for c in docs.columns]))
+    return done.select(*[column(c).alias(back.get(c, c)) for c in done.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

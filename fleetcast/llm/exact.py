@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, as_list, ascii_lower_head, column, documents, id_and_text, with_columns_from_text
+from fleetcast.llm.common import ID, TEXT, as_list, ascii_lower_head, column, documents, id_and_text, with_columns_from_text, set_aside
 from fleetcast.session import written
 
 #: Code points of the prefix that is hashed in the second round.
@@ -82,20 +82,26 @@ def exact_groups(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, hash_s
 
 
 def deduplicate(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """docs with one row per text, that of the largest id, all columns as they were.
+    """docs with one row per text, that of the largest id, all columns as they were, of whatever names.
 
-    Settled rows pass; of the others each task first keeps its own best row per hash, and those meet in a shuffle.
+    Of rows that repeat id and text the one with the greatest hash of all columns (maps left out) stays. Settled rows pass; of the others
+    each task first keeps its own best row per hash, and those meet in a shuffle.
     """
-    names = docs.columns
-    rows = refined(docs, text_col)
-    whole = F.struct(*[column(c) for c in names])
-    best = (
-        rows.filter("not __settled")
-        .groupBy("__hash")
-        .agg(F.max_by(whole, F.struct(column(id_col).cast("long"))).alias("row"))
-        .select(*[F.col("row")[c].alias(c) for c in names])
-    )
-    return rows.filter("__settled").select(*[column(c) for c in names]).unionByName(best)
+
+    def work(docs: DataFrame) -> DataFrame:
+        names = docs.columns
+        rows = refined(docs, text_col)
+        whole = F.struct(*[column(c) for c in names])
+        hashed = F.xxhash64(*[column(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+        best = (
+            rows.filter("not __settled")
+            .groupBy("__hash")
+            .agg(F.max_by(whole, F.struct(column(id_col).cast("long"), hashed)).alias("row"))
+            .select(*[F.col("row")[c].alias(c) for c in names])
+        )
+        return rows.filter("__settled").select(*[column(c) for c in names]).unionByName(best)
+
+    return set_aside(docs, work, id_col, text_col)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

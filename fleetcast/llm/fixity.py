@@ -83,15 +83,30 @@ def levels_for(*replicas: DataFrame) -> int:
     return levels
 
 
+def _matching(key: list[str]) -> Column:
+    """Equal keys of two sides, the second's with "_b" behind their names; a null key matches a null key."""
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    return same
+
+
+def _other(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{k}_b" for k in key})
+
+
 def _differing(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
-    a, b = one.withColumnRenamed("hash", "hash_a"), two.withColumnRenamed("hash", "hash_b")
-    return a.join(b, key, "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    a, b = one.withColumnRenamed("hash", "hash_a"), _other(two.withColumnRenamed("hash", "hash_b"), key)
+    both = a.join(b, _matching(key), "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    return both.select(*[F.coalesce(k, f"{k}_b").alias(k) for k in key], "hash_a", "hash_b")
 
 
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """Where two replicas (archive, offset, record_sha256) differ: archive, offset, hash_a, hash_b (null: no record there), status.
 
-    status: changed, missing (only in the first), added (only in the second). Empty replicas differ by the other's records.
+    status: changed, missing (only in the first), added (only in the second). Empty replicas differ by the other's records. Records
+    without an archive are an archive of their own; those of an archive without an offset are hashed together. Offsets are those of a
+    shared index: a replica whose records were moved has to be given the original's.
     """
     levels = levels_for(one, two)
     a, b = tree(one, levels, "fixity-a"), tree(two, levels, "fixity-b")
@@ -100,12 +115,14 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
 
         def under(level: DataFrame, above: DataFrame = open_) -> DataFrame:
             up = above.select("archive", F.col("range").alias("up"))
-            return level.withColumn("up", F.shiftright("range", GROWTH)).join(up, ["archive", "up"], "left_semi").drop("up")
+            key = ["archive", "up"]
+            return level.withColumn("up", F.shiftright("range", GROWTH)).join(_other(up, key), _matching(key), "left_semi").drop("up")
 
         open_ = written(_differing(under(a[k]), under(b[k]), NODE).select(*NODE), "fixity-open")
 
     def records(level: DataFrame) -> DataFrame:
-        return level.withColumn("range", F.shiftright("offset", LOWEST)).join(open_, NODE, "left_semi").drop("range")
+        ranged = level.withColumn("range", F.shiftright("offset", LOWEST))
+        return ranged.join(_other(open_, NODE), _matching(NODE), "left_semi").drop("range")
 
     found = _differing(records(a[0]), records(b[0]), ["archive", "offset"])
     status = F.when(F.col("hash_b").isNull(), F.lit("missing")).when(F.col("hash_a").isNull(), F.lit("added")).otherwise(F.lit("changed"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, column, documents, give_back, held_out, pieces, text_bytes, with_columns_from_text
+from fleetcast.llm.common import ID, TEXT, column, documents, give_back, held_out, pieces, text_bytes, with_columns_from_text, set_aside
 
 #: Trigrams are hashed to 2^TABLE cells.
 TABLE = 14
@@ -194,9 +194,16 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = TEXT, drop:
 
 
 def in_known_language(docs: DataFrame, model: LanguageModel, text_col: str = TEXT) -> DataFrame:
-    """docs without those rejected: no language to be told, or one that is ambiguous."""
-    found = identify(docs, model, text_col)
-    return found.filter((F.col("__lang") != UNKNOWN) & ~F.col("__ambiguous")).select(*[column(c) for c in docs.columns])
+    """docs, columns of whatever names as they were, without those rejected: no language to be told, or one that is ambiguous.
+
+    A model that learned no language rejects every document.
+    """
+
+    def work(rows: DataFrame) -> DataFrame:
+        found = identify(rows, model, text_col)
+        return found.filter((F.col("__lang") != UNKNOWN) & ~F.col("__ambiguous")).select(*[column(c) for c in rows.columns])
+
+    return set_aside(docs, work, text_col)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

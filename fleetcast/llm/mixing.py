@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, WORD, column, documents
+from fleetcast.llm.common import ID, TEXT, WORD, column, documents, set_aside
 from fleetcast.session import written
 
 #: Hexadecimal digits of a hash, and of one step of refinement (256 buckets a source).
@@ -110,11 +110,14 @@ def mix(
 
 
 def mixed(docs: DataFrame, **columns: str) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns as they were."""
-    taken = mix(docs, **columns).filter("__repeats > 0")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__repeats").cast("int")))).select(
-        *[column(c) for c in docs.columns]
-    )
+    """The mix itself: every document as often as it is taken, columns as they were, of whatever names."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        taken = mix(rows, **columns).filter("__repeats > 0")
+        copies = taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__repeats").cast("int"))))
+        return copies.select(*[column(c) for c in rows.columns])
+
+    return set_aside(docs, work, *columns.values())
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

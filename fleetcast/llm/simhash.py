@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, as_list, column, documents, with_columns_from_text
+from fleetcast.llm.common import ID, TEXT, as_list, column, documents, set_aside, with_columns_from_text
 from fleetcast.llm.components import components
 from fleetcast.session import written
 
@@ -274,10 +274,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = ID, text_col: str = TE
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each class, that of the smallest id (null ids last, then by the text's hash), columns as they were.
+    """docs with one document of each class, that of the smallest id (null ids last, then by the text's hash), columns of whatever names
+    as they were.
 
     Rows that repeat id and text count as one document and stay together.
     """
+    return set_aside(docs, lambda rows: _apart(rows, id_col, text_col, distance), id_col, text_col)
+
+
+def _apart(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
     who = {"__id": column(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(column(text_col), F.lit("")))}
     slim = docs.select(*[c.alias(k) for k, c in who.items()], column(text_col).cast("string").alias(TEXT))
     rows = written(with_fingerprint(slim, drop=(TEXT,)), "simhash-rows")

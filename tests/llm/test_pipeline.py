@@ -37,4 +37,4 @@ def test_an_empty_table_runs_through(spark, nothing, tmp_path):
 
 def test_registered():
     names = set(entry_module.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}

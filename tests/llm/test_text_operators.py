@@ -14,6 +14,7 @@ import pytest
 from plain import SECRET, ascii_lower, classes, simhash, words
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from fleetcast.llm import components, exact, fixity, langid, mixing, packing, quality, secrets, sharding, simhash as sim, spotsigs
 from fleetcast.session import new_table_path
 
@@ -44,12 +45,33 @@ def test_shards_of_many_rows_meet_the_tolerance(spark):
     assert all(r.n == r.m + 1 == r.d for r in counts)
 
 
-def test_one_key_for_all_rows_and_no_rows(spark, nothing):
-    same = spark.range(50).selectExpr("1L doc_id", "'x' text")
-    assert sharding.shard_by_bytes(same, shards=4).select("__shard").distinct().count() == 1
+@pytest.mark.parametrize("piece_rows", [7, 50_000])
+def test_rows_that_repeat_id_and_text_are_parted(spark, nothing, piece_rows):
+    same = spark.range(400).selectExpr("1L doc_id", "'x' text")
+    mixed = same.unionByName(spark.range(300).selectExpr("id + 5 doc_id", "repeat(cast(id as string), 1 + id % 9) text"))
+    for docs, n in ((same, 400), (mixed, 700)):
+        got = sharding.shard_by_bytes(docs, shards=8, piece_rows=piece_rows)
+        found = got.groupBy("__shard").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n"), F.max("__slot").alias("m"), F.countDistinct("__slot").alias("d")).collect()
+        total = sum(r.b for r in found)
+        assert len(found) == 8 and sum(r.n for r in found) == n and all(r.n == r.m + 1 == r.d for r in found)
+        assert all(abs(r.b - total / 8) <= 40 for r in found)  # a few rows of at most 27 bytes
     assert sharding.shard_by_bytes(nothing).count() == 0
 
 
+def test_columns_of_the_same_names_stay(spark):
+    docs = spark.range(30).selectExpr("id doc_id", "repeat('ab ', int(id)) text", "'own' __shard", "7 __first", "8 __slot")
+    got = sharding.shard_by_bytes(docs, shards=3)
+    assert got.columns == [*docs.columns, "__shard_", "__slot_", "__bytes"]
+    assert {(r["__shard"], r["__first"], r["__slot"]) for r in got.collect()} == {("own", 7, 8)}
+
+
+def test_the_sharding_query(spark, table, rows):
+    got = entry_module.queries()["op1_histogram_sort"](spark, table).collect()
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None} and {r.shard for r in got} <= set(range(16))
+
+
 # 2 ---------------------------------------------------------------------------------------------------
 
 
@@ -275,6 +297,42 @@ def test_audit_finds_the_planted_faults_only(spark):
     assert {r.status for r in fixity.audit(none, records.limit(3)).collect()} == {"added"}
 
 
+def test_audit_of_records_without_archive_or_offset(spark):
+    def replica(*rows):
+        return spark.createDataFrame(rows, "archive long, offset long, record_sha256 string")
+
+    one = replica((None, 0, "a"), (None, 70_000, "b"), (1, None, "c"), (1, 5, "d"), (2, 9, "e"))
+    two = replica((None, 0, "a"), (None, 70_000, "B"), (1, None, "C"), (1, 5, "d"), (None, 8, "f"))
+    got = {(r.archive, r.offset, r.status) for r in fixity.audit(one, two).collect()}
+    assert got == {(None, 70_000, "changed"), (1, None, "changed"), (2, 9, "missing"), (None, 8, "added")}
+
+
+def test_stage_operators_keep_columns_of_any_name(spark, docs, rows):
+    """Columns named like an operator's own come back as they were."""
+    plain = docs.select("doc_id", "text", "lang", "source").filter("doc_id is not null").dropDuplicates()
+    clash = ["__size", "__lang", "__hash", "__settled", "__whole", "__print", "__repeats", "__id"]
+    named = plain.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in clash])
+    model = langid.fit(plain)
+    stages = [mixing.mixed, exact.deduplicate, sim.without_near_duplicates, lambda d: langid.in_known_language(d, model)]
+    for stage in stages:
+        got = stage(named)
+        assert got.columns == named.columns
+        found = got.collect()
+        assert all(r[c] == f"{c} {r.doc_id}" for r in found for c in clash)
+        assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in stage(plain).collect())
+
+
+def test_no_language_to_learn_rejects_all(spark, docs):
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.in_known_language(none, langid.fit(none)).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_leave_one_defined_row(spark):
+    table = spark.createDataFrame([(1, "a", f"s{k}") for k in range(9)], "doc_id long, text string, source string")
+    kept = {exact.deduplicate(table.repartition(n)).first().source for n in (1, 2, 5, 9)}
+    assert len(kept) == 1
+
+
 # 8 ---------------------------------------------------------------------------------------------------
 
 
