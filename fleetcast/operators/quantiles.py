@@ -127,11 +127,12 @@ def group_quantiles(
     """One row per key group with a column per entry of ``wanted`` (name -> probability,
     or a function from the row count to the 0-based position).
 
-    Non-finite values and rows with a null key are left out. ``sketch`` and ``slack`` set only the cost. Two jobs run at once: the
-    brackets and the picked values are written tables, a row per group.
+    Non-finite values and rows with a null key are left out. ``sketch`` and ``slack`` set only the cost. The work is done at once: the
+    values, the brackets and the picked values are written tables, the last two with a row per group.
     """
     ranks = list(wanted.values())
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(is_finite(F.col("_v")))
+    rows = written(rows, "quantile-values")  # read twice: what made the values may be dear
     brackets = written(_brackets(rows, keys, ranks, sketch, slack), "quantile-brackets")
     picked = written(_picked(rows, keys, brackets, ranks), "quantile-picks")
     outside = F.lit(False)

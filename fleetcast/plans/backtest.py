@@ -14,6 +14,7 @@ from fleetcast.operators.metrics import MODEL_KEYS, coverage_by_power, model_met
 from fleetcast.operators.splits import DEFAULT_STEP_MINUTES, TRAIN_RATIO, VAL_RATIO, row_bounds, row_split
 from fleetcast.operators.timeline import CHUNK_ROWS, ROW, TOTAL, along_timeline, attach, kept_columns
 from fleetcast.schemas import HORIZONS, KEY, POWER, TEST_OUTPUT_COLUMNS, THEORETICAL, TS, WIND
+from fleetcast.session import written
 
 BASELINES = ("persistence", "power_curve", "rolling_mean")
 
@@ -117,6 +118,7 @@ def baseline_predictions(
 
 def residual_intervals(predictions: DataFrame, default_p90: float = 50.0, carried: Sequence[str] = ()) -> DataFrame:
     """Test rows with p10/p90 from the validation residuals (A8), in the uniform output shape (B6) and behind it the carried columns."""
+    predictions = written(predictions, "predictions")  # the val rows are read for the bands, then the test rows
     band = residual_p90(predictions.where(F.col("split") == "val"), MODEL_KEYS)
     test = attach(predictions.where(F.col("split") == "test"), band, MODEL_KEYS)
     width = F.coalesce("residual_p90", F.lit(default_p90))
@@ -157,6 +159,7 @@ def split_rows(indexed: DataFrame, split: str) -> DataFrame:
 
 def conformal_intervals(predictions: DataFrame, target: float = conformal.COVERAGE) -> DataFrame:
     """C1 on the val rows, C2 on the test rows."""
+    predictions = written(predictions, "predictions")
     fitted = conformal.fit(predictions.where(F.col("split") == "val"), MODEL_KEYS, target)
     return conformal.predict_intervals(predictions.where(F.col("split") == "test"), fitted, MODEL_KEYS, target)
 
@@ -165,7 +168,7 @@ def calibration_report(
     predictions: DataFrame, target: float = conformal.COVERAGE, tolerance: float = conformal.TOLERANCE
 ) -> DataFrame:
     """One row per asset, model and horizon: A10 with the coverage per power regime as a map."""
-    intervals = conformal_intervals(predictions, target)
+    intervals = written(conformal_intervals(predictions, target), "intervals")
     entry = F.struct(F.col("power_bin").alias("key"), F.col("coverage").alias("value"))
     bins = coverage_by_power(intervals).groupBy(*MODEL_KEYS)
     by_bin = bins.agg(F.map_from_entries(F.collect_list(entry)).alias("coverage_by_power_bin"))
