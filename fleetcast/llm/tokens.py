@@ -17,7 +17,7 @@ from pyspark import Broadcast, SparkContext
 from fleetcast.llm.common import text_bytes
 
 #: Pieces of one generation of a worker's memory; only speed depends on it. Bytes of text that are cut up, and words encoded, at once.
-PIECES, SLICE, JOINED = 150_000, 1 << 20, 500
+PIECES, SLICE, JOINED = 100_000, 1 << 20, 500
 
 # The normalizer and pre-tokenizer of definitions whose ids are those of the pieces between spaces, one after another.
 _NORMALIZER = {
