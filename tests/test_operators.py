@@ -15,7 +15,7 @@ from fleetcast.schemas import KEY, POWER, RAW_TO_INTERNAL, SEQ, TS
 from fleetcast.sources import scada as source
 from fleetcast.sources import weather as weather_files
 from fleetcast.sources.weather import flatten_hourly
-from fleetcast.streaming import scada as streams
+from fleetcast.streaming.ramps import ramp_runs
 
 START = datetime(2018, 1, 1)
 DDL = (
@@ -189,7 +189,7 @@ def test_late_rows_take_their_place_in_a_stream(spark, tmp_path):
         for f in (tmp_path / "in").glob("part-*.parquet"):
             f.rename(tmp_path / "in" / f"f{k}.parquet") if not f.name.startswith("f") else None
     stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = streams.ramp_runs(stream).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
+    out = ramp_runs(stream).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c")
     out.trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
     (run,) = spark.read.parquet(f"{tmp_path}/out").collect()
     assert (run["steps"], run["power_before_kw"], run["power_after_kw"]) == (4, 100.0, 2900.0)
