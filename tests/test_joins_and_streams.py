@@ -323,3 +323,18 @@ def test_landed_files_are_taken_once(spark, tmp_path):
     ]
     accounts = sorted((r.response_file.rsplit("/", 1)[1], r[KEY], r.readable, r.hours) for r in files.collect())
     assert accounts == [("a.json", "T1", True, 3), ("b.json", "T1", True, 2), ("c.json", "T2", False, 0), ("d.json", "T2", False, 0), ("e.json", "T2", True, 1)]
+
+
+def test_responses_are_landed_by_many_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    from fleetcast.sources import weather
+
+    rows = spark.createDataFrame([(f"T{i % 4}", str(i // 4), f'{{"hourly": {i}}}') for i in range(200)], f"{KEY} string, landed string, value string")
+    weather.land_responses(rows, str(tmp_path / "in"), KEY, "landed")
+    files = [p for p in Path(tmp_path / "in").rglob("part-*") if p.suffix != ".crc"]
+    assert sorted(p.read_text() for p in files) == sorted(r.value + "\n" for r in rows.collect())
+    assert len({p.name[:10] for p in files}) > 1  # the number of the task
+    spark.conf.unset(weather.LISTING_TASKS)
+    weather.stream_responses(spark, str(tmp_path / "in"))
+    assert int(spark.conf.get(weather.LISTING_TASKS)) <= 4 * spark.sparkContext.defaultParallelism
