@@ -135,3 +135,37 @@ def test_test_outputs_on_disk(spark, fleet, tmp_path):
     one = outputs.load_test_outputs(spark, str(tmp_path / "out"), "persistence-T1-1h")
     want = out.where("model_id = 'persistence-T1-1h'")
     assert sorted(one.collect()) == sorted(want.collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_feature_rows_are_not_exchanged(spark, fleet):
+    from fleetcast.operators import features
+
+    known = learned.training_features(fleet, [1], lags=(1, 3), windows=(3,), chunk_rows=128, more_steps=(1, 3))
+    assert [c for c in known.columns if c.startswith(features.TARGET)] == [features.target_of(n) for n in (1, 3, 6)]
+    learn = learned.learning_rows(learned._delta_frame(fleet, 6, (1, 3), (3,), 10.0, False, 128, known))
+    assert "SortMergeJoin" not in _plan(learn) and "hashpartitioning" not in _plan(learn)
+    long = rollforward._long_frame(fleet, (1, 3, 6), (1, 3), (3,), 128, known)
+    assert "SortMergeJoin" not in _plan(long) and "hashpartitioning" not in _plan(long)
+
+
+def test_features_of_horizons_with_missing_and_repeated_rows(spark):
+    from fleetcast.operators import features
+
+    rows = []
+    for i in range(40):
+        wind = None if i == 17 else 5.0 + i
+        rows.append(("T1", START + timedelta(minutes=10 * i), 100.0 + i * i, wind, 1.0, float(i)))
+    rows.append(("T1", START + timedelta(minutes=100), 7.0, 8.0, 1.0, 2.0))
+    indexed = with_row_index(spark.createDataFrame(rows, DDL))
+    kept = features.tabular_features(indexed, (1,), (2,), 8).orderBy("row_index").collect()
+    found = features.supervised_for_horizons(indexed, [1, 4], (1,), (2,), 8).orderBy("row_index").collect()
+    assert [r["row_index"] for r in found] == list(range(len(kept))) and {r["n_rows"] for r in found} == {len(kept)}
+    assert len(kept) == 41 - 2 - 2  # the first two, and the two whose windows hold the missing wind
+    for n in (1, 4):
+        wanted = [kept[k + n]["active_power_kw"] if k + n < len(kept) else None for k in range(len(kept))]
+        assert [r[features.target_of(n)] for r in found] == wanted
+    assert [r["active_power_lag_1"] for r in found] == [r["active_power_lag_1"] for r in kept]
