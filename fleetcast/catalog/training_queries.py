@@ -12,6 +12,7 @@ from fleetcast.operators.metrics import model_metrics
 from fleetcast.operators.timeline import ROW, TOTAL, with_row_index
 from fleetcast.plans.fleet_training import train_fleet
 from fleetcast.schemas import KEY, TS
+from fleetcast.session import written
 
 # Beside the four whole assets, short ones: the first rows of the others under a name of their own.
 SHORT = {"S12": ("T1", 12), "S20": ("T2", 20), "S60": ("T3", 60), "S200": ("T4", 200)}
@@ -55,7 +56,7 @@ def fleet(spark, sf_dir) -> DataFrame:
 
 
 def _trained(spark, sf_dir):
-    return kept_fit(spark, sf_dir, "fleet", lambda: train_fleet(fleet(spark, sf_dir), **TREES))
+    return kept_fit(spark, sf_dir, "fleet", lambda: train_fleet(written(fleet(spark, sf_dir), "fleet"), **TREES))
 
 
 @query(

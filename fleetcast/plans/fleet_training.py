@@ -101,7 +101,7 @@ def train_fleet(
             known = chosen.join(counts, KEY, "left").withColumns({"reason": _reason(), "horizon_hours": F.lit(h)})
             known = written(known, "fleet-status")
             fit = split.join(known.where(F.col("reason").isNull()).select(KEY), KEY, "left_semi")
-            fit = written(fit.withColumn("delta_kw", F.col(TARGET) - F.col(POWER)), "fleet-frame")
+            fit = fit.withColumn("delta_kw", F.col(TARGET) - F.col(POWER))  # small tables joined to written features: no need to write it
             status.append(known)
             if fit.isEmpty():
                 continue
