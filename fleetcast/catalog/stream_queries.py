@@ -46,9 +46,11 @@ def _landed(rows: DataFrame, name: str, spans: int = 6, late_minutes: int = 90):
     arrival = F.unix_micros((F.col(TS) + late).cast("timestamp"))
     first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
     width = ((last or 0) - (first or 0)) // spans + 1
-    staged = rows.withColumn("_span", F.floor((arrival - F.lit(first or 0)) / width))
+    parted, staged = rows.withColumn("_span", F.floor((arrival - F.lit(first or 0)) / width)), new_table_path(spark, f"{name}-spans")
+    parted.write.partitionBy("_span").parquet(staged)  # a span then reads its own rows only
+    spanned = spark.read.schema(parted.schema).parquet(staged)
     for k in range(spans):
-        staged.where(F.col("_span") == k).drop("_span").repartition(5, F.xxhash64(SEQ, F.lit(7))).write.mode("append").parquet(path)
+        spanned.where(F.col("_span") == k).drop("_span").repartition(5, F.xxhash64(SEQ, F.lit(7))).write.mode("append").parquet(path)
     _closed(rows).where(F.col(KEY) == CLOSING).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 

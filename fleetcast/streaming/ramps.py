@@ -1,8 +1,9 @@
 """Ramp runs on a stream of SCADA rows (X3), as a stateful processor with timers.
 
-Rows wait in a map of time buckets until the watermark has passed their bucket; then its timer takes the bucket's rows, in order
-of time, and goes on with the asset's run from one small value. A bucket holds one row per time, so neither a call nor
-a state entry grows with the asset or with the micro-batch.
+Rows are gathered by asset and time bucket in Spark's own aggregate, over all tasks, and reach the processor as one row per
+bucket once the watermark has passed it. The processor takes the buckets in order of time and goes on with the asset's run from one
+small value: a few calls of the state per asset and micro-batch, in whatever order the rows arrive. A state entry holds a bucket's
+rows, a call two numbers for each row of its asset that the micro-batch gives out.
 """
 
 from __future__ import annotations
@@ -75,56 +76,32 @@ def advance(run: Run | None, us: np.ndarray, power: np.ndarray, ramp_kw: float,
     return after, ended
 
 
+def _closing(run: Run) -> list:
+    return [run.start_us, run.last_us, run.start_power, run.last_power, run.steps]
+
+
 class RampRuns(StatefulProcessor):
     def __init__(self, ramp_kw: float, ramp_pct: float, bucket_us: int, silence_us: int) -> None:
         self.ramp_kw, self.ramp_pct, self.bucket_us, self.silence_us = ramp_kw, ramp_pct, bucket_us, silence_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket bigint", "us array<bigint>, power array<double>")
         self.run = handle.getValueState("run", "last_us bigint, last_power double, start_us bigint, start_power double, steps bigint")
 
-    def _wake(self, end_us: int) -> None:
-        """A timer at the end of a bucket; one that is there already stays one."""
-        self.handle.registerTimer(end_us // 1000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:  # a record batch of bounded size
-            us = frame[TS].astype("datetime64[us]").astype("int64").to_numpy()
-            power = frame[POWER].to_numpy(np.float64)
-            bucket = us // self.bucket_us
-            for b in np.unique(bucket).tolist():
-                own_us, own_power = us[bucket == b], power[bucket == b]
-                held = self.waiting.getValue((b,))
-                if held is not None:
-                    own_us = np.concatenate([np.array(held[0], np.int64), own_us])
-                    own_power = np.concatenate([np.array(held[1], np.float64), own_power])
-                own_us, own_power = first_of_each_time(own_us, own_power)
-                self.waiting.updateValue((b,), (own_us.tolist(), own_power.tolist()))
-                if held is None:
-                    self._wake((b + 1) * self.bucket_us)
-        return iter(())
+    def _close_us(self, run: Run) -> int:
+        """The end of the bucket in which an open run's asset has been silent for long enough."""
+        return -(-(run.last_us + self.silence_us) // self.bucket_us) * self.bucket_us
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The rows of the bucket that ends now; then a run whose asset has been silent is closed."""
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        bucket = now_us // self.bucket_us - 1
-        run = Run(*self.run.get()) if self.run.exists() else None
-        held, ended = self.waiting.getValue((bucket,)), []
-        if held is not None:
-            us, power = np.array(held[0], np.int64), np.array(held[1], np.float64)
-            self.waiting.removeKey((bucket,))
-            run, done = advance(run, us, power, self.ramp_kw, self.ramp_pct)
-            ended.extend(done.tolist())
-        if run is not None and run.steps:
-            close_us = -(-(run.last_us + self.silence_us) // self.bucket_us) * self.bucket_us
+    def _settled(self, key, run: Run, ended: list, timerValues) -> Iterator[pd.DataFrame]:
+        """Closes the run of a silent asset or sets its timer, keeps the run and gives out those that have ended."""
+        if run.steps:
+            close_us = self._close_us(run)
             if close_us > timerValues.getCurrentWatermarkInMs() * 1000:
-                self._wake(close_us)
-            elif not any(self.waiting.containsKey((b,)) for b in range(bucket + 1, close_us // self.bucket_us)):
-                ended.append([run.start_us, run.last_us, run.start_power, run.last_power, run.steps])
+                self.handle.registerTimer(close_us // 1000)
+            else:
+                ended.append(_closing(run))
                 run = run.closed()
-        if run is not None:
-            self.run.update((run.last_us, run.last_power, run.start_us, run.start_power, run.steps))
+        self.run.update((run.last_us, run.last_power, run.start_us, run.start_power, run.steps))
         if ended:
             out = pd.DataFrame(ended, columns=_ENDED)
             times = [pd.to_datetime(out[c].astype("int64"), unit="us", utc=True) for c in ("start_us", "end_us")]
@@ -133,6 +110,37 @@ class RampRuns(StatefulProcessor):
                 "power_after_kw": out["power_after_kw"].astype(float), "steps": out["steps"].astype("int64"),
             })
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """All buckets between the watermark before and the one now, each of which comes once: later ones end later."""
+        found = [
+            (start_us, np.asarray(us, np.int64), np.asarray(power, np.float64))
+            for frame in rows for start_us, us, power in zip(frame["start_us"], frame["us"], frame["power"], strict=True)
+        ]
+        run, ended = Run(*self.run.get()) if self.run.exists() else None, []
+        for start_us, us, power in sorted(found, key=lambda b: b[0]):
+            if run is not None and run.steps and self._close_us(run) < start_us + self.bucket_us:
+                ended.append(_closing(run))
+                run = run.closed()
+            run, done = advance(run, *first_of_each_time(us, power), self.ramp_kw, self.ramp_pct)
+            ended.extend(done.tolist())
+        if run is not None:
+            yield from self._settled(key, run, ended, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A run still open is closed if its asset has been silent since."""
+        if self.run.exists():
+            yield from self._settled(key, Run(*self.run.get()), [], timerValues)
+
+
+def bucketed(rows: DataFrame, bucket: str) -> DataFrame:
+    """Per asset and bucket its distinct rows as two arrays, given out when the watermark has passed the bucket."""
+    entry = F.struct(F.unix_micros(TS).alias("us"), F.coalesce(POWER, F.lit(float("nan"))).alias("power"))
+    gathered = rows.groupBy(KEY, F.window(TS, bucket).alias("window")).agg(F.collect_set(entry).alias("_rows"))
+    return gathered.select(
+        KEY, F.window_time("window").alias(TS), F.unix_micros("window.start").alias("start_us"), F.col("_rows.us").alias("us"),
+        F.col("_rows.power").alias("power"),
+    )
+
 
 def ramp_runs(
     stream: DataFrame,
@@ -144,14 +152,15 @@ def ramp_runs(
 ) -> DataFrame:
     """R2 on a stream. A run is given out once a step that is no ramp ends it, or its asset has been silent.
 
-    Rows late within the watermark take their place in the order of time. A run still open when ``silence`` has passed since its last
-    row is closed at the end of that bucket. Longer buckets mean fewer calls of the state and later results. Of rows of one time the
-    first by power counts; rows without a time are left out. Sets the session's state store to RocksDB, which holds the map.
+    Rows late within the watermark take their place in the order of time; later ones still do while their bucket is open. A run still open when ``silence`` has passed since its last
+    row is closed at the end of that bucket. Longer buckets mean fewer state entries and later results. Of rows of one time the
+    first by power counts; rows without a time are left out. Sets the session's state store to RocksDB, which timers need.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     processor = RampRuns(ramp_kw, ramp_pct, micros(bucket), micros(silence))
     rows = stream.select(KEY, F.col(TS).cast("timestamp").alias(TS), POWER).where(F.col(TS).isNotNull())
-    runs = rows.withWatermark(TS, lateness).groupBy(KEY).transformWithStateInPandas(processor, _EVENT, "append", "EventTime")
+    buckets = bucketed(rows.withWatermark(TS, lateness), bucket)
+    runs = buckets.groupBy(KEY).transformWithStateInPandas(processor, _EVENT, "append", "EventTime")
     change = F.col("power_after_kw") - F.col("power_before_kw")
     return runs.select(
         "*",

@@ -216,6 +216,29 @@ def test_ramps_from_shuffled_files_over_a_restart(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_ramp_rows_are_gathered_over_all_tasks(spark):
+    """Before the one task of an asset its rows are put together by bucket: it gets a row per bucket, whatever their order was."""
+    stream = spark.readStream.format("rate").load()
+    rows = stream.select(F.lit("T1").alias(KEY), F.col("timestamp").alias(TS), F.col("value").cast("double").alias(POWER))
+    plan = ramp_runs(rows)._jdf.queryExecution().analyzed().toString()
+    runs, gathered = plan.index("TransformWithState"), plan.index("Aggregate")
+    assert runs < gathered and "window" in plan[gathered:]
+
+
+def test_a_silent_run_is_closed_between_the_buckets_of_one_batch(spark, tmp_path):
+    """Runs before and behind a long gap, all in one file: the first ends at its last row, and the step over the gap begins another."""
+    power = [100.0, 900.0, 100.0]
+    rows = [("T1", START + timedelta(minutes=10 * i), p) for i, p in enumerate(power)]
+    rows += [("T1", START + timedelta(days=3, minutes=10 * i), p) for i, p in enumerate([900.0, 100.0, 100.0])]
+    rows += [rows[1], ("T1", rows[1][1], 2000.0), ("T1", rows[1][1], None), ("closing", START + timedelta(days=60), 0.0)]
+    ddl = f"{KEY} string, {TS} timestamp, {POWER} double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(source)
+    run_to_end(ramp_runs(spark.readStream.schema(ddl).parquet(source), lateness="2 hours", silence="3 hours", bucket="2 hours"), out)
+    got = sorted((r.start_time, r.end_time, r.power_before_kw, r.power_after_kw, r.steps) for r in spark.read.parquet(out).collect())
+    assert got == [(rows[0][1], rows[2][1], 100.0, 100.0, 2), (rows[2][1], rows[4][1], 100.0, 100.0, 2)]
+
+
 def test_counters_survive_restarts_and_replays(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "table")
     ddl = (
