@@ -88,7 +88,7 @@ def train_fleet(
             assets = assets.unionByName(choices[h].where(F.col("feature_set") == i).select(KEY))
         rows = indexed.join(assets.distinct(), KEY, "left_semi")
         lags, windows = FALLBACK_SETS[i]
-        frames[i] = written(supervised_for_horizons(rows, [steps[h] for h in own], lags, windows, chunk_rows), "fleet-features")
+        frames[i] = supervised_for_horizons(rows, [steps[h] for h in own], lags, windows, chunk_rows, table="fleet-features")
     models, outputs, status = {}, [], []
     for h, n in steps.items():
         for i in used[h]:
