@@ -105,6 +105,13 @@ def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _named(features: Sequence[str], target: str) -> tuple[dict[str, Column], list[str], str]:
+    """The columns that windows need, each once, by the names they have on the way; those of the features, and of the target."""
+    names = [f"_x{i}" for i in range(len(features))]
+    y = names[features.index(target)] if target in features else "_y"
+    return {n: F.col(c).cast("double") for n, c in {**dict(zip(names, features, strict=True)), y: target}.items()}, names, y
+
+
 def _matrix(table: pa.Table, columns: Sequence[str]) -> np.ndarray:
     return np.stack([table.column(c).to_numpy().astype(np.float64) for c in columns], axis=1)
 
@@ -115,13 +122,12 @@ def window_moments(
     """Means and covariances over the train windows of all assets. Missing values make them NaN."""
     features = list(features)
     train_end = row_bounds(F.col(TOTAL))[0]
+    carried, names, y_name = _named(features, target)
     rows = indexed.where(F.col(ROW) < train_end).select(
-        KEY, ROW, F.col(TOTAL), train_windows(seq_len, steps).alias("_windows"), F.col(target).cast("double").alias("_y"),
-        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
+        KEY, ROW, F.col(TOTAL), train_windows(seq_len, steps).alias("_windows"), *[c.alias(n) for n, c in carried.items()]
     )
     rows = rows.where(F.col("_windows") > 0)
-    names = [f"_x{i}" for i in range(len(features))]
-    means = rows.agg(*[F.avg(c) for c in (*names, "_y")]).first()
+    means = rows.agg(*[F.avg(c) for c in (*names, y_name)]).first()
     if means[0] is None:
         return Moments(0, np.zeros(seq_len * len(features)), 0.0, np.zeros((0, 0)), np.zeros(0), 0.0)
     # products are taken about these, so that nothing is lost when the means are taken off
@@ -132,11 +138,13 @@ def window_moments(
         total = _empty(seq_len, len(names))
         for chunk in _chunks_of(batches):
             first = int(chunk.column(CHUNK)[0].as_py()) * chunk_rows
-            z, y = _matrix(chunk, names) - about, chunk.column("_y").to_numpy() - y_about
+            z, y = _matrix(chunk, names) - about, chunk.column(y_name).to_numpy() - y_about
             _products(z, y, first, int(chunk.column("_windows")[0].as_py()), chunk_rows, seq_len, steps, total)
         if total["n"]:
             out = [("n", 0, np.array([total["n"], total["y"], total["yy"]])), ("x", 0, total["x"]), ("xy", 0, total["xy"]), ("x_edge", 0, total["x_edge"])]
-            out += [("lagged", 0, total["lagged"])] + [("edge", k, row) for k, row in enumerate(total["edge"])]
+            out += [("lagged", 0, total["lagged"])]
+            if total["edge"].any():  # only the first and the last chunk of an asset have edges
+                out += [("edge", k, row) for k, row in enumerate(total["edge"])]
             columns = [[o[0] for o in out], pa.array([o[1] for o in out], pa.int32()), [np.ascontiguousarray(o[2]).tobytes() for o in out]]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in columns], names=["part", "k", "values"])
 
@@ -156,7 +164,7 @@ def _moments(found: dict, length: int, features: int, about: np.ndarray, y_about
     wide = length * features
     n, y, yy = found["n", 0]
     lagged = found["lagged", 0].reshape(length, features, features)
-    edge = np.stack([found["edge", k] for k in range(wide)]).reshape(length, features, length, features)
+    edge = np.stack([found.get(("edge", k), np.zeros(wide)) for k in range(wide)]).reshape(length, features, length, features)
     sums = np.zeros((length, features, length, features))
     for k in range(length):
         sums[k, :, k:, :] = lagged[: length - k].transpose(1, 0, 2) + edge[k, :, k:, :]
@@ -194,17 +202,15 @@ def window_scores(
     windows of the val and test parts."""
     features = list(features)
     train_end, val_end = row_bounds(F.col(TOTAL))
-    names = [f"_x{i}" for i in range(len(features))]
-    rows = indexed.where(F.col(ROW) >= train_windows(seq_len, steps)).select(
-        KEY, TS, ROW, TOTAL, F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)]
-    )
+    carried, names, y_name = _named(features, target)
+    rows = indexed.where(F.col(ROW) >= train_windows(seq_len, steps)).select(KEY, TS, ROW, TOTAL, *[c.alias(n) for n, c in carried.items()])
     by_feature = np.asarray(weights, np.float64).reshape(seq_len, len(features))
 
     def scored(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values(ROW)
         behind = chunk[TS].to_numpy()[seq_len:]
         n = max(min(len(chunk) - (seq_len + steps - 1), len(behind)), 0)
-        z, y = chunk[names].to_numpy(np.float64), chunk["_y"].to_numpy(np.float64)
+        z, y = chunk[names].to_numpy(np.float64), chunk[y_name].to_numpy(np.float64)
         raw = np.full(n, intercept)
         if n:
             for i in range(len(names)):
