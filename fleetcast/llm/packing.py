@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetcast.llm.common import ID, TEXT, documents, give_back, id_and_text, pieces
+from fleetcast.llm.common import ID, TEXT, documents, give_back, id_and_text, pieces, text_bytes
 from fleetcast.llm.tokens import of_worker, shared
 from fleetcast.session import written
 
@@ -39,7 +39,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = ID, text_col:
             known = known or of_worker(definition)
             as_binary = batch.set_column(1, TEXT, batch.column(TEXT).cast(pa.binary()))
             for rows in pieces(as_binary, TEXT):
-                flat, lengths = known.ids(rows.column(TEXT))
+                flat, lengths = known.of_texts(rows.column(TEXT))
                 flat = np.insert(flat, np.cumsum(lengths), end_id).astype("<u4")
                 lengths = lengths + 1
                 ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -67,25 +67,28 @@ def cut(stream: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset (place in that sequence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = (ID, "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-        rows, size = [], 0
         for batch in batches:
-            for doc, place, ids in zip(*(batch.column(c) for c in (ID, "place", "ids")), strict=True):
-                doc, place, ids = doc.as_py(), place.as_py(), ids.as_buffer()
-                n, at = ids.size // 4, 0
-                while at < n:
-                    sequence, offset = divmod(place + at, length)
-                    take = min(n - at, length - offset)
-                    rows.append((doc, at, take, ids[4 * at : 4 * (at + take)].to_pybytes(), n, sequence, offset))
-                    at, size = at + take, size + 4 * take
-                    if size >= BATCH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
-                        rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+            for rows in pieces(batch, "ids", BATCH):
+                data, bounds = text_bytes(rows.column("ids"))
+                place, n = rows.column("place").to_numpy(), np.diff(bounds) // 4
+                first = place // length
+                # windows that each document has a part of
+                count = np.where(n > 0, (place + n - 1) // length - first + 1, 0)
+                own = np.repeat(np.arange(len(n)), count)
+                sequence = first[own] + np.arange(len(own)) - (np.cumsum(count) - count)[own]
+                start = np.maximum(sequence * length - place[own], 0)
+                take = np.minimum((sequence + 1) * length - place[own], n[own]) - start
+                # the documents' ids lie one after another, and so do their pieces'
+                ends = np.concatenate([[0], 4 * np.cumsum(take)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                doc = rows.column(ID).take(pa.array(own))
+                offset = place[own] + start - sequence * length
+                columns = [doc, start, take, ids, n[own], sequence, offset]
+                made = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+                yield from pieces(made, "ids", BATCH)
         give_back()
 
+    names = [ID, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kind = f"{ID} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return stream.mapInArrow(run, kind)
 

@@ -8,16 +8,20 @@ piece. Other tokenizers encode whole texts.
 from __future__ import annotations
 
 import array
+import itertools
 import json
+import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, SparkContext
 
 from fleetcast.llm.common import text_bytes
 
-#: Pieces of one generation of a worker's memory; only speed depends on it. Bytes of text that are cut up, and words encoded, at once.
-PIECES, SLICE, JOINED = 100_000, 1 << 20, 500
+#: Pieces and bytes of pieces that fill a worker's memory; only speed depends on them. Bytes of text that are cut up, and words
+#: encoded, at once.
+PIECES, HELD, SLICE, JOINED = 300_000, 16 << 20, 5 << 19, 500
 
 # The normalizer and pre-tokenizer of definitions whose ids are those of the pieces between spaces, one after another.
 _NORMALIZER = {
@@ -38,6 +42,10 @@ _PRE_TOKENIZER = {
 }
 
 _LETTER, _MARK, _OTHER = 1, 2, 3
+_CLASSES = bytes(
+    0 if c in b" \n" else _LETTER if chr(c) in string.ascii_letters else _MARK if 0x20 < c < 0x7F else _OTHER for c in range(256)
+)
+_LOWER = bytes(range(256)).lower()
 
 
 def parts_at_spaces(definition: str) -> bool:
@@ -48,13 +56,8 @@ def parts_at_spaces(definition: str) -> bool:
 def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes with ASCII and Latin letters in lower case, and the class of each byte: 0 space or line feed, letter, ASCII
     that is no letter, other."""
-    classes = np.full(256, _OTHER, np.uint8)
-    classes[0x21:0x7F] = _MARK
-    classes[0x41:0x5B] = classes[0x61:0x7B] = _LETTER
-    classes[[0x20, 0x0A]] = 0
-    lower = np.arange(256, dtype=np.uint8)
-    lower[0x41:0x5B] += 0x20
-    kind, out = classes[data], lower[data]
+    raw = bytearray(data)
+    out, kind = (np.frombuffer(raw.translate(table), np.uint8) for table in (_LOWER, _CLASSES))
     lead = np.flatnonzero(data[:-1] == 0xC3)
     second = data[lead + 1]
     letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
@@ -68,33 +71,36 @@ def cut(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
     Between spaces, letters followed by ASCII that is none are a word, in lower case, and its tail; anything else is one piece, as it is.
     """
-    lower, kind = _lowered(data)
+    text, kind = _lowered(data)
     solid = kind > 0
-    after = np.concatenate([[False], solid[:-1]])
-    first = np.flatnonzero(solid & ~after)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    first = np.flatnonzero(begins)
     if not len(first):
         return pa.array([], pa.binary()), first
-    before = np.concatenate([[0], kind[:-1]])
-    turn = (kind == _MARK) & (before == _LETTER)  # from letters to a tail
-    odd = (kind == _OTHER) | ((kind == _LETTER) & (before == _MARK))
-    odd_before = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
-    end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
-    plain = (odd_before[end] == odd_before[first]) & (kind[first] == _LETTER)
-    whole = np.zeros(len(data) + 1, np.int8)  # 1 inside chunks that stay whole
-    whole[first[~plain]] += 1
-    whole[end[~plain]] -= 1
-    inside = np.cumsum(whole[:-1], dtype=np.int8).astype(bool)
-    begins = solid & (~after | (turn & ~inside))
+    mark, letter = kind == _MARK, kind == _LETTER
+    odd = kind == _OTHER
+    odd[1:] |= letter[1:] & mark[:-1]
+    begins[1:] |= mark[1:] & letter[:-1]  # from letters to a tail
+    whole = np.zeros(len(first), bool)  # chunks that stay as they are
+    whole[np.searchsorted(first, np.flatnonzero(odd), side="right") - 1] = True
+    if whole.any():
+        sides = np.zeros(len(data) + 1, np.int8)
+        sides[first[whole]] = 1
+        sides[np.append(first[1:], len(data))[whole]] -= 1
+        inside = np.cumsum(sides[:-1], dtype=np.int8).view(bool)
+        np.copyto(text, data, where=inside)
+        begins[inside] = False
+        begins[first[whole]] = True
     at = np.flatnonzero(begins)
-    text = np.where(inside, data, lower)[solid]
-    place = np.cumsum(solid, dtype=np.int32) - 1
-    offsets = np.append(place[at], len(text)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))]), at
+    place = np.cumsum(solid, dtype=np.int32)
+    offsets = np.append(place[at] - 1, place[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text[solid])]), at
 
 
 class Tokens:
-    """Ids of whole texts, without special tokens, and a memory of the pieces already encoded: those used since it was last full, and
-    those of the time before, so only rare pieces are encoded again."""
+    """Ids of whole texts, without special tokens, and a memory of the pieces already encoded: when it is full, the half that fewer
+    slices of text had is forgotten."""
 
     def __init__(self, definition: str) -> None:
         import os
@@ -105,75 +111,91 @@ class Tokens:
         tokenizer = Tokenizer.from_str(definition)
         self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         self.in_pieces = parts_at_spaces(definition)
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        #: The pieces, each with its place in sizes and uses; their ids one after another; how many bytes the pieces have.
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes, self.uses = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.held = 0
         if self.in_pieces:
             suffix = json.loads(definition)["model"]["end_of_word_suffix"]
             vocabulary = tokenizer.get_vocab()
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
-
-    def _encoded_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """As _encoded, with many words in a text: a run of letters is one word, whose last token says so."""
-        texts = [p.decode() for p in pieces]
-        words = [k for k, t in enumerate(texts) if t.isalpha()]
-        found: list[bytes] = [b""] * len(texts)
-        joined = self._encoded([" ".join(texts[k] for k in words[at : at + JOINED]) for at in range(0, len(words), JOINED)])
-        for ids, at in zip(joined, range(0, len(words), JOINED), strict=True):
-            own = words[at : at + JOINED]
-            ends = (4 * (np.flatnonzero(self.ends_word[np.frombuffer(ids, np.uint32)]) + 1)).tolist()
-            parts = [ids[a:b] for a, b in zip([0, *ends], ends)]
-            if len(ends) != len(own) or ends[-1] != len(ids):
-                parts = self._encoded([texts[k] for k in own])
-            for k, part in zip(own, parts, strict=True):
-                found[k] = part
-        rest = [k for k, t in enumerate(texts) if not t.isalpha()]
-        for k, part in zip(rest, self._encoded([texts[k] for k in rest]), strict=True):
-            found[k] = part
-        return found
-
-    def _looked_up(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if len(self.recent) > PIECES:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        found = list(map(recent.get, pieces))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        unseen = []
-        for k in missing:
-            ids = older.get(pieces[k])
-            if ids is None:
-                unseen.append(k)
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(array.array("I", e.ids), np.uint32) for e in self.encode(texts, add_special_tokens=False)]
+
+    def _encoded_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and the number of each word's, JOINED words at a time: a run of letters is one word, whose last token says so."""
+        blocks = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        found = []
+        for ids, own in zip(self._encoded([" ".join(b) for b in blocks]), blocks, strict=True):
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                found.append((ids, np.diff(ends, prepend=0)))
             else:
-                found[k] = recent[pieces[k]] = ids
-        for k, ids in zip(unseen, self._encoded_pieces([pieces[k] for k in unseen]), strict=True):
-            found[k] = recent[pieces[k]] = ids
+                found += [(part, np.array([len(part)])) for part in self._encoded(own)]
         return found
 
+    def _remember(self, pieces: list[bytes]) -> None:
+        texts = b"\n".join(pieces).decode().split("\n")
+        is_word = list(map(str.isalpha, texts))
+        no_word = [not w for w in is_word]
+        found = self._encoded_words(list(itertools.compress(texts, is_word)))
+        found += [(part, np.array([len(part)])) for part in self._encoded(list(itertools.compress(texts, no_word)))]
+        for kind in (is_word, no_word):
+            self.known.update(zip(itertools.compress(pieces, kind), itertools.count(len(self.known))))
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+        self.uses = np.append(self.uses, np.zeros(len(pieces), np.int32))
+        self.held += sum(map(len, pieces))
+
+    def _forget(self) -> None:
+        keep = self.uses > np.median(self.uses)
+        self.flat = self.flat[np.repeat(keep, self.sizes)]
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+        # the pieces are in the order of their places
+        self.known = dict(zip(itertools.compress(self.known, keep.tolist()), itertools.count()))
+        self.held = sum(map(len, self.known))
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the memory has these distinct pieces."""
+        if len(self.known) > PIECES or self.held > HELD:
+            self._forget()
+        places = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            unseen = [pieces[k] for k in missing.tolist()]
+            self._remember(unseen)
+            places[missing] = np.fromiter(map(self.known.__getitem__, unseen), np.int64, len(unseen))
+        self.uses[places] += 1
+        return places
+
     def _slice(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some bytes, and how many belong to each of the texts that begin at `bounds`."""
         pieces, at = cut(data)
         if not len(pieces):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         distinct = pieces.dictionary_encode()
-        known = self._looked_up(distinct.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, start = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size
+        # no piece has a line feed
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct.dictionary)], distinct.dictionary), b"\n")
+        places = self._places(joined[0].as_py().split(b"\n"))
+        size, start = self.sizes[places], (np.cumsum(self.sizes) - self.sizes)[places]
         own = distinct.indices.to_numpy()
         lengths = size[own]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat(start[own] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        ids = self.flat[np.repeat(start[own] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
         upto = np.concatenate([[0], ends])[np.searchsorted(at, np.append(bounds, len(data)))]
         return ids, np.diff(upto)
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, text: str) -> bytes:
+        """The ids of one text, 32-bit."""
+        return self.of_texts(pa.array([text.encode()], pa.binary()))[0].astype(np.uint32).tobytes()
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and the number of each; nulls have none."""
         if not self.in_pieces:
             found = self._encoded(["" if t is None else t.decode() for t in texts.to_pylist()])
-            return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
         data, offsets = text_bytes(texts)
         # a space after each text
         data = np.insert(data, offsets[1:], 0x20) if len(data) else np.full(len(texts), 0x20, np.uint8)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import SECRET, ascii_lower, classes, simhash, words
 from pyspark.sql import functions as F
@@ -121,6 +122,68 @@ def test_remembered_chunks_give_the_ids_of_whole_texts():
         assert known.ids(text) == array.array("I", ids_of(text)[:-1]).tobytes(), text
 
 
+def known_tokens():
+    from fleetcast.llm.tokens import Tokens
+
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        return Tokens(f.read())
+
+
+def test_rare_words_are_encoded_once():
+    known, sent = known_tokens(), []
+    encode = known.encode
+    known.encode = lambda texts, **kw: sent.extend(texts) or encode(texts, **kw)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in "abcdefghijklm"]
+    texts = [" ".join(words[at : at + 5000]) for at in range(0, len(words), 5000)]
+    first = [known.ids(t) for t in texts]
+    assert len(words) > 200_000 and sum(len(t.split()) for t in sent) == len(words)
+    sent.clear()
+    assert [known.ids(t) for t in texts] == first and not sent
+
+
+def test_a_full_memory_keeps_the_pieces_used_most(monkeypatch):
+    monkeypatch.setattr("fleetcast.llm.tokens.PIECES", 40)
+    monkeypatch.setattr("fleetcast.llm.tokens.HELD", 500)
+    known = known_tokens()
+    for k in range(60):
+        text = " ".join(["often", "seen!", "2x", *(f"q{'abcdefghij'[k % 10] * (i + 1)}z{'pqrstu'[k % 6]}" for i in range(12)), "y" * 200 * (k % 3)])
+        assert known.ids(text) == array.array("I", ids_of(text)[:-1]).tobytes()
+        assert len(known.known) <= 40 + 16 and known.held <= 500 + len(text)
+        assert len(known.known) == len(known.sizes) == len(known.uses) and known.sizes.sum() == len(known.flat)
+    assert {b"often", b"seen", b"!", b"2x"} <= known.known.keys()
+
+
+def test_chunks_that_stay_whole_beside_words():
+    known = known_tokens()
+    parts = ["the", "The", "ÉTÉ", "İ", "ﬁn", "'S", "!!", " ", "\n", "\t", "12", "Z", "<|endoftext|>", "你好", "x́", "×", "\x00", "ᄀ", "ᅡ", "\u2003"]
+    texts = [None, "", *("".join(parts[(i * k + k // 7) % len(parts)] for i in range(k % 9)) for k in range(400))]
+    flat, lengths = known.of_texts(pa.array([None if t is None else t.encode() for t in texts], pa.binary()))
+    assert lengths.tolist() == [len(ids_of(t)) - 1 for t in texts]
+    assert flat.tolist() == [i for t in texts for i in ids_of(t)[:-1]]
+
+
+def test_pieces_are_cut_at_every_window(spark):
+    sizes = [0, 1, 6, 7, 0, 8, 20, 40_000, 1, 13, 0]
+    rows, at = [], 3
+    for doc, n in enumerate(sizes):
+        rows.append((None if doc == 5 else doc, at, bytes(range(251)) * (4 * n // 251) + bytes(4 * n % 251)))
+        at += n
+    stream = spark.createDataFrame(rows, "doc_id long, place long, ids binary").coalesce(1)
+    want = []
+    for doc, place, ids in rows:
+        n, start = len(ids) // 4, 0
+        while start < n:
+            sequence, offset = divmod(place + start, 7)
+            take = min(n - start, 7 - offset)
+            want.append((doc, start, take, ids[4 * start : 4 * (start + take)], n, sequence, offset))
+            start += take
+    names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    got = packing.cut(stream, 7)
+    assert got.columns == list(names) and [(*r[:3], bytes(r[3]), *r[4:]) for r in got.collect()] == want
+    assert packing.cut(stream.filter("length(ids) = 0"), 7).count() == 0
+
+
 def test_packing_nothing(nothing):
     parts = packing.pack(nothing, packing.default_tokenizer())
     assert parts.count() == 0 and packing.sequences(parts).count() == 0
