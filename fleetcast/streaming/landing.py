@@ -6,7 +6,9 @@ Both write a batch's folder over again when the batch is replayed after a failur
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 _DONE = "_SUCCESS"
@@ -63,19 +65,46 @@ def newest(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def appending(paths: Mapping[str, Callable[[DataFrame], DataFrame]]) -> Sink:
-    """Several tables of one stream: each path gets what its function makes of the batch, in a folder of the batch's number."""
+    """Several tables of one stream: each path gets what its function makes of the batch, in a folder of the batch's number.
+
+    The tables of a batch are written at the same time: of a small batch most of the time is Spark's preparation and commit of a write.
+    """
 
     def write(rows: DataFrame, batch: int) -> None:
         rows = rows.persist()  # read once, however many tables are made of it; lost parts are read again
         try:
-            for path, made in paths.items():
-                made(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            _at_once([partial(_overwritten, rows, made, f"{path}/batch={batch}") for path, made in paths.items()])
         finally:
             rows.unpersist()
 
     return write
 
 
+def _overwritten(rows: DataFrame, made: Callable[[DataFrame], DataFrame], path: str) -> None:
+    made(rows).write.mode("overwrite").parquet(path)
+
+
+def _at_once(calls: Sequence[Callable[[], None]]) -> None:
+    """Runs the calls in threads that inherit this one's Spark properties. When all have ended, raises the first error there was."""
+    failed: list[Exception] = []
+
+    def run(call: Callable[[], None]) -> None:
+        try:
+            call()
+        except Exception as problem:
+            failed.append(problem)
+
+    others = [InheritableThread(target=run, args=(call,)) for call in calls[1:]]
+    for thread in others:
+        thread.start()
+    for call in calls[:1]:
+        run(call)
+    for thread in others:
+        thread.join()
+    if failed:
+        raise failed[0]
+
+
 def appended(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows of all finished batches."""
     found = list(_finished(spark, path, "batch").values())

@@ -361,3 +361,68 @@ def test_responses_are_landed_by_many_tasks(spark, tmp_path):
     spark.conf.unset(weather.LISTING_TASKS)
     weather.stream_responses(spark, str(tmp_path / "in"))
     assert int(spark.conf.get(weather.LISTING_TASKS)) <= 4 * spark.sparkContext.defaultParallelism
+
+
+ODD_NAMES = ["T 1", "a/b=c", "50%", "x+y", "ä#?", None, "", "T1"]
+
+
+def test_landed_responses_lie_where_spark_would_put_them(spark, tmp_path):
+    from pathlib import Path
+
+    from fleetcast.sources import weather
+
+    def held(top):
+        return sorted((str(p.parent.relative_to(top)), p.read_bytes()) for p in Path(top).rglob("part-*") if p.suffix != ".crc")
+
+    rows = spark.createDataFrame([(a, day, f"{a} {day}") for a in ODD_NAMES for day in (1, 2)], f"{KEY} string, landed int, value string")
+    rows = rows.unionByName(rows.where("landed = 1 AND asset_id = 'T1'").withColumn("value", F.lit(None).cast("string")))
+    in_order = rows.repartition(1).sortWithinPartitions("value")
+    top, other = str(tmp_path / "in dir"), str(tmp_path / "other")
+    weather.land_responses(in_order, top, KEY, "landed")
+    in_order.write.partitionBy(KEY, "landed").text(other)
+    lines = [(folder, sorted(text.split(b"\n"))) for folder, text in held(top)]
+    merged = {}
+    for folder, text in lines:  # a null and an empty name share a folder, but not always a task
+        merged.setdefault(folder, []).extend(x for x in text)
+    assert {k: sorted(x for x in v if x) for k, v in merged.items()} == {k: sorted(x for x in t.split(b"\n") if x) for k, t in held(other)}
+    assert sum(t.count(b"\n") for _, t in held(top)) == rows.count()
+    # the tasks write the files: Hadoop would start processes for each of them, and lay a checksum beside it
+    assert not list(Path(top).rglob("*.crc")) and {p.name for p in Path(top).iterdir() if "=" not in p.name} == {"_SUCCESS"}
+    weather.land_responses(in_order.where("landed = 2"), top, KEY, "landed")
+    assert sum(t.count(b"\n") for _, t in held(top)) == rows.count() + len(ODD_NAMES)
+
+
+def test_a_failed_landing_leaves_no_files(spark, tmp_path):
+    from fleetcast.sources import weather
+
+    rows = spark.range(40).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias(KEY), F.expr("if(id = 39, raise_error('no'), 'x')").alias("value"))
+    with pytest.raises(Exception, match="no"):
+        weather.land_responses(rows, str(tmp_path / "in"), KEY)
+    assert not [p for p in (tmp_path / "in").rglob("*") if p.is_file()]
+
+
+def test_the_asset_of_a_response_is_read_from_its_path(spark, tmp_path):
+    import json
+
+    from fleetcast.sources import weather
+
+    top, seen = str(tmp_path / "in dir"), str(tmp_path / "seen")
+    text = json.dumps({"hourly": {"time": ["2018-01-01T00:00"]}})
+    rows = spark.createDataFrame([(a, day, text) for a in ODD_NAMES for day in ("2018-01-01", "x")], f"{KEY} string, landed string, value string")
+    rows.write.partitionBy(KEY, "landed").text(top)
+    stream = weather.stream_responses(spark, top, 3)
+    # Spark's discovery of folders compares each folder with all others: it would have added the column ``landed``
+    assert stream.columns == ["hourly", weather.CORRUPT, KEY, weather.FILE]
+    options = stream.writeStream.option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True)
+    options.foreachBatch(landing.appending({seen: weather.file_accounts})).start().awaitTermination()
+    found = landing.appended(spark, seen, weather.file_accounts(stream).schema)
+    expected = spark.read.text(top).select(KEY, F.col("_metadata.file_path").alias(weather.FILE)).distinct()
+    assert sorted(map(str, found.select(KEY, weather.FILE).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_a_failing_table_fails_its_batch(spark, tmp_path):
+    paths = [str(tmp_path / name) for name in ("good", "bad")]
+    write = landing.appending({paths[0]: lambda df: df, paths[1]: lambda df: df.select(F.expr("raise_error('no')").alias("v"))})
+    with pytest.raises(Exception, match="no"):
+        write(spark.createDataFrame([(1,)], "v long"), 0)
+    assert landing.appended(spark, paths[0], "v long").count() == 1 and landing.appended(spark, paths[1], "v long").count() == 0
